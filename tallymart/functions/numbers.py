@@ -23,10 +23,8 @@ def ratio_if(condition: Column, top: Column, bottom: Column) -> Column:
 
 def trunc_decimal(value: Column, digits: int) -> Column:
     """Cut a decimal to ``digits`` places toward zero."""
-    step = F.lit(10**digits).cast("decimal(10,0)")
-    cut = F.floor(F.abs(value.cast(EXACT)) * step).cast("decimal(30,0)")
-    signed = F.when(value < 0, -cut).otherwise(cut)
-    return (signed / step).cast(f"decimal(30,{digits})")
+    size = F.floor(F.abs(value.cast(EXACT)), F.lit(digits)).cast(f"decimal(30,{digits})")
+    return F.when(value < 0, -size).otherwise(size)
 
 
 def pct_diff(previous: Column, current: Column) -> Column:
@@ -53,9 +51,10 @@ def pct_diff_count(previous: Column, current: Column) -> Column:
 
 def to_money(amount: Column) -> Column:
     """Struct of currency code, whole units and nanos, both cut toward zero."""
-    exact = amount.cast("decimal(28,9)")
+    exact = amount.cast(EXACT)
     units = F.when(exact < 0, F.ceil(exact)).otherwise(F.floor(exact)).cast("bigint")
-    nanos = (exact - units.cast("decimal(19,0)")) * F.lit(10**9).cast("decimal(10,0)")
+    part = (exact - units.cast("decimal(19,0)")).cast("decimal(19,18)")
+    nanos = part * F.lit(10**9).cast("decimal(10,0)")
     return F.struct(
         F.lit(CURRENCY_CODE).alias("currency_code"),
         units.alias("units"),

@@ -759,3 +759,77 @@ cast(trunc((cast(l_extendedprice AS decimal(12,2)) * cast(l_discount AS decimal(
 ORACLES["to_money"] = """SELECT o_orderkey, '860' AS currency_code, cast(trunc(amount) AS bigint) AS units,
 cast(trunc((amount - trunc(amount)) * 1000000000) AS integer) AS nanos
 FROM (SELECT o_orderkey, cast(o_totalprice AS decimal(18,2)) * cast('0.123456789' AS decimal(10,9)) - 20000 AS amount FROM orders)"""
+
+# --- streams --------------------------------------------------------------
+
+ROUTED = """SELECT 'product' AS target, cast(ts AS date) AS date FROM events
+UNION ALL SELECT 'position', cast(ts AS date) FROM events WHERE event_type = 'view'
+UNION ALL SELECT 'quarantine', cast(ts AS date) FROM events WHERE event_id % 97 = 1
+UNION ALL SELECT 'category', unnest([DATE '2024-01-02', DATE '2024-01-20']) FROM region"""
+ORACLES["route_events"] = (
+    f"SELECT target, date, count(*) AS events FROM ({ROUTED}) GROUP BY target, date"
+)
+# The second SKU of every tenth product event.
+SECOND = TABLES["snap"].replace("FROM events", ", event_id FROM events")
+ORACLES["stream_products"] = f"""WITH s AS ({SECOND}), both_skus AS (
+SELECT * EXCLUDE (date, event_id) FROM s
+UNION ALL SELECT * EXCLUDE (date, event_id) REPLACE (product_id * 10 + 2 AS sku_id, NULL AS photo_key, NULL AS full_price)
+FROM s WHERE event_id % 10 = 0)
+SELECT *, 'blue' AS color, 'sale,top' AS tags FROM both_skus"""
+ORACLES["ingest_products"] = ORACLES["stream_products"]
+ORACLES["stream_positions"] = query("pos", "SELECT * FROM pos")
+ORACLES["ingest_positions"] = ORACLES["stream_positions"]
+_STREAMED = f"""SELECT * EXCLUDE (event_id) FROM ({SECOND})
+UNION ALL SELECT * EXCLUDE (event_id) REPLACE (product_id * 10 + 2 AS sku_id, NULL AS photo_key, NULL AS full_price)
+FROM ({SECOND}) WHERE event_id % 10 = 0"""
+_SKUDAY = (
+    TABLES["skuday"]
+    .replace("FROM snap", "FROM streamed")
+    .replace(
+        "arg_max(photo_key, (timestamp, photo_key)) AS",
+        "arg_max(photo_key, (timestamp, photo_key)) FILTER (photo_key IS NOT NULL) AS",
+    )
+)
+ORACLES["stream_daily_rollup"] = f"WITH streamed AS ({_STREAMED}), skuday AS ({_SKUDAY}) {DAILY}"
+ORACLES["stream_categories"] = query(
+    "edges",
+    "SELECT category_id, parent_category_id, concat(title, ' v2') AS title FROM edges",
+)
+ORACLES["stream_sellers"] = ORACLES["upsert_sellers"]
+PAYMENTS = {
+    "ev": """
+SELECT payment_id, created_at AS "at", status, 0 AS ord FROM payments
+UNION ALL SELECT payment_id, created_at + INTERVAL 1 DAY,
+  CASE payment_id % 3 WHEN 0 THEN 'success' ELSE 'failed' END, 1
+  FROM payments WHERE status = 'pending' AND payment_id % 3 <> 2
+UNION ALL SELECT payment_id, created_at + INTERVAL 2 DAY, 'success', 1
+  FROM payments WHERE status = 'pending' AND payment_id % 6 = 0
+UNION ALL SELECT payment_id, created_at + to_days(cast(n AS integer)), 'success', 1
+  FROM payments, (SELECT unnest([3, 4]) AS n) WHERE status = 'pending' AND payment_id % 3 = 1 AND payment_id % 10 = 0""",
+    "won": """
+SELECT e.payment_id, p.user_id, e."at", p.subscription_type AS plan,
+  30 * CASE WHEN p.multiply > 1 THEN p.multiply ELSE 1 END AS days
+FROM (SELECT *, lag(status) OVER (PARTITION BY payment_id ORDER BY "at", ord) AS earlier FROM ev) e
+JOIN payments p USING (payment_id) WHERE e.status = 'success' AND coalesce(e.earlier, '') <> 'success'""",
+    "summed": """
+SELECT *, sum(days) OVER (PARTITION BY user_id ORDER BY "at", payment_id) AS upto FROM won""",
+    "subs": """
+SELECT user_id, CASE arg_max(plan, ("at", payment_id)) WHEN 1 THEN 'default' WHEN 2 THEN 'advanced' ELSE 'pro' END
+  AS subscription_type, max("at") AS subscription_created_at,
+  max("at" - to_days(cast(upto - days AS integer))) + to_days(cast(sum(days) AS integer)) AS subscription_end_at
+FROM summed GROUP BY user_id""",
+}
+ORACLES["subscription_state"] = query("payments", "SELECT * FROM subs", **PAYMENTS)
+ORACLES["stream_subscriptions"] = ORACLES["subscription_state"]
+ORACLES["payment_orphans"] = query(
+    "payments",
+    """SELECT payment_id + 1000000000 AS payment_id, created_at AS "at", 'success' AS status
+FROM payments WHERE payment_id % 97 = 0""",
+)
+ORACLES["demo_grant"] = query(
+    "payments plans",
+    """SELECT user_id, 'demo' AS subscription_type, TIMESTAMP '2024-01-31' AS subscription_created_at,
+TIMESTAMP '2024-02-03' AS subscription_end_at
+FROM plans WHERE subscription_type IS NULL AND user_id NOT IN (SELECT user_id FROM subs)""",
+    **PAYMENTS,
+)

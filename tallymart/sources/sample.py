@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymart import schemas
 from tallymart.marketplace import Marketplace
+from tallymart.operators.running import running_sums
 from tallymart.plans import rollup
 from tallymart.session import fresh_folder
 from tallymart.sources.stores import append_series
@@ -24,53 +26,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _numbered_events(events: DataFrame) -> DataFrame:
-    """Events with running numbers and a running order count per product.
-
-    Running totals are taken in two steps, the hours before and the events of
-    the hour, so that a busy product never sorts all its events in one task.
-    """
+    """Events with running numbers and a running order count per product."""
     marked = events.select(
         "event_id",
         "ts",
         F.col("user_id").alias("product_id"),
         "event_type",
-        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"),
-        (F.col("event_id") % 2).alias("parity"),
-        F.floor(F.col("value") / 20).cast("bigint").alias("step"),
-    )
-    odd = F.col("parity")
-    hourly = marked.groupBy("product_id", "hour").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(odd).alias("n_odd"), F.sum("step").alias("steps")
+        F.lit(1).alias("n"),
+        (F.col("event_id") % 2).alias("odd"),
+        F.floor(F.col("value") / 20).cast("bigint").alias("steps"),
     )
-    earlier = (
-        Window.partitionBy("product_id")
-        .orderBy("hour")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = hourly.select(
-        "product_id",
-        "hour",
-        *(
-            F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before")
-            for c in ("n", "n_odd", "steps")
-        ),
-    )
-    within = (
-        Window.partitionBy("product_id", "hour")
-        .orderBy("ts", "event_id")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    n = F.col("n_before") + F.count(F.lit(1)).over(within)
-    n_odd = F.col("n_odd_before") + F.sum(odd).over(within)
-    return marked.join(before, ["product_id", "hour"]).select(
+    hour = F.date_trunc("hour", "ts")
+    order = ["ts", "event_id"]
+    summed = running_sums(marked, ["product_id"], hour, order, ["n", "odd", "steps"])
+    odd = F.col("odd_upto")
+    return summed.select(
         "event_id",
         "ts",
         "product_id",
         "event_type",
-        "parity",
-        n.alias("n"),
-        F.when(odd == 1, n_odd).otherwise(n - n_odd).alias("n_parity"),
-        (F.col("steps_before") + F.sum("step").over(within)).alias("steps"),
+        F.col("odd").alias("parity"),
+        F.col("n_upto").alias("n"),
+        F.when(F.col("odd") == 1, odd).otherwise(F.col("n_upto") - odd).alias("n_parity"),
+        F.col("steps_upto").alias("steps"),
     )
 
 
@@ -78,12 +56,15 @@ def _category_of(product: F.Column) -> F.Column:
     return F.when(product % 50 == 49, F.lit(124)).otherwise(1000 + product % 50).cast("bigint")
 
 
-def product_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event is one scrape of a product's SKU."""
+def product_snapshot(
+    spark: SparkSession, folder: str, numbered: bool = False
+) -> DataFrame:
+    """Every event is one scrape of a product's SKU; ``numbered`` keeps its id."""
     rows = _numbered_events(table(spark, folder, "events"))
     product, seller = F.col("product_id"), F.col("product_id") % 20
     dip = F.when(F.col("event_type") == "error", 8).otherwise(0)
     return rows.select(
+        *(["event_id"] if numbered else []),
         F.col("ts").alias("timestamp"),
         product,
         (product * 10 + F.col("parity")).alias("sku_id"),
@@ -167,6 +148,49 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def payment_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Created payments and their later status changes.
+
+    Pending payments change after a day, a third each to success, failed and
+    unknown; half of the successes repeat, every tenth failure recovers and is
+    then told twice. Some successes belong to no payment.
+    """
+    paid = payments(spark, folder)
+    key = F.col("payment_id")
+    created = paid.select(
+        "payment_id",
+        "user_id",
+        F.lit("created").alias("kind"),
+        F.col("created_at").alias("at"),
+        "status",
+        "subscription_type",
+        "multiply",
+    )
+
+    def change(rows: DataFrame, days: int, status: F.Column, number: F.Column = key):
+        return rows.select(
+            number.alias("payment_id"),
+            F.lit(None).cast("bigint").alias("user_id"),
+            F.lit("status").alias("kind"),
+            (F.col("created_at") + F.expr(f"INTERVAL {days} DAY")).alias("at"),
+            status.alias("status"),
+            F.lit(None).cast("int").alias("subscription_type"),
+            F.lit(None).cast("int").alias("multiply"),
+        )
+
+    pending = paid.where(F.col("status") == "pending")
+    third = F.when(key % 3 == 0, "success").when(key % 3 == 1, "failed").otherwise("unknown")
+    success = F.lit("success")
+    recovered = pending.where((key % 3 == 1) & (key % 10 == 0))
+    return (
+        created.union(change(pending, 1, third))
+        .union(change(pending.where(key % 6 == 0), 2, success))
+        .union(change(recovered, 3, success))
+        .union(change(recovered, 4, success))
+        .union(change(paid.where(key % 97 == 0), 0, success, key + 10**9))
+    )
+
+
 def report_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Every order is one report request for a date range before it."""
     key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
@@ -208,6 +232,143 @@ def access_log(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Scrape events as they arrive: products, positions, trees and noise.
+
+    Every product event holds the SKU of its snapshot; every tenth holds a
+    second one without full price and photo. Some product events are broken and
+    some envelopes are of no known kind.
+    """
+    product = product_snapshot(spark, folder, numbered=True)
+    text = F.col("purchase_price").cast("decimal(20,2)") / 100
+
+    def pair(first: str, second: str, a: str, b: str) -> F.Column:
+        return F.struct(F.lit(a).alias(first), F.lit(b).alias(second))
+
+    def sku(number, full, photo):
+        return F.struct(
+            number.alias("sku_id"),
+            text.cast("decimal(20,2)").cast("string").alias("purchase_price"),
+            full.alias("full_price"),
+            F.col("available_amount"),
+            photo.alias("photo_key"),
+            F.array(
+                pair("type", "title", "color", "red"), pair("type", "title", "color", "blue")
+            ).alias("characteristics"),
+            F.col("restriction").alias("restricted_amount"),
+        )
+
+    full = (F.col("full_price").cast("decimal(20,2)") / 100).cast("decimal(20,2)")
+    own = sku(F.col("sku_id"), F.coalesce(full.cast("string"), F.lit("")), F.col("photo_key"))
+    extra = sku(F.col("product_id") * 10 + 2, F.lit(""), F.lit(""))
+    body = F.struct(
+        "product_id",
+        "title",
+        F.col("total_orders_amount").alias("orders"),
+        "total_available_amount",
+        "reviews_amount",
+        "rating",
+        "is_eco",
+        "is_adult",
+        F.array(F.lit("new")).alias("attributes"),
+        F.array(F.lit("sale"), F.lit("top")).alias("tags"),
+        F.struct(F.col("latest_category_id").alias("id")).alias("category"),
+        F.struct(
+            F.col("seller_id").alias("id"),
+            F.col("seller_account_id").alias("account_id"),
+            "seller_link",
+            "seller_title",
+            F.col("reviews_amount").alias("reviews"),
+            F.col("total_orders_amount").alias("orders"),
+            "rating",
+            (F.datediff("seller_registration_date", F.lit("1970-01-01").cast("date")) * 86400)
+            .cast("bigint")
+            .alias("registration_seconds"),
+            F.array(pair("type", "value", "mail", "a@b.c")).alias("contacts"),
+        ).alias("seller"),
+        F.when(F.col("event_id") % 10 == 0, F.array(own, extra))
+        .otherwise(F.array(own))
+        .alias("skus"),
+    )
+    position = product_position(spark, folder)
+    events = table(spark, folder, "events")
+
+    def envelope(rows, prefix, number, time, kind, payload):
+        return rows.select(
+            F.concat(F.lit(prefix), number.cast("string")).alias("event_id"),
+            time.alias("scrap_time"),
+            F.lit(kind).alias("kind"),
+            payload.alias("payload"),
+        )
+
+    number, ts = F.col("event_id"), F.col("ts")
+    timestamp = F.col("timestamp")
+    broken = F.lit('{"product_id": ')
+    place = F.to_json(F.struct("product_id", "sku_id", "category_id", "position"))
+    return (
+        envelope(product, "p", number, timestamp, "product", F.to_json(body))
+        .union(envelope(position, "v", F.xxhash64("timestamp", "sku_id"), timestamp, "position", place))
+        .union(envelope(events.where(number % 97 == 1), "b", number, ts, "product", broken))
+        .union(envelope(events.where(number % 50 == 0), "h", number, ts, "heartbeat", F.lit("{}")))
+        .union(category_envelopes(spark, folder))
+    )
+
+
+_ENVELOPES: dict[tuple[str, str], str] = {}
+
+# Event files carry their times to the microsecond.
+MICROS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def stored_envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as JSON files, written once per session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _ENVELOPES:
+        path = fresh_folder(spark, "envelopes")
+        envelopes(spark, folder).write.options(**MICROS).json(path)
+        _ENVELOPES[key] = path
+    return spark.read.schema(schemas.ENVELOPE).options(**MICROS).json(_ENVELOPES[key])
+
+
+def category_envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each top category's tree in one event, and later again with new titles.
+
+    The tree is a dimension of a few levels; a parent gathers its children.
+    """
+    edges = category_edges(spark, folder)
+
+    def tree(suffix: str, time: str) -> DataFrame:
+        named = edges.withColumn("title", F.concat("title", F.lit(suffix)))
+
+        def level(low: int, high: int, children: DataFrame | None) -> DataFrame:
+            rows = named.where(F.col("category_id").between(low, high))
+            if children is None:
+                return rows.select(
+                    "parent_category_id",
+                    F.struct("category_id", "title").alias("node"),
+                    "category_id",
+                )
+            below = children.groupBy(F.col("parent_category_id").alias("category_id")).agg(
+                F.sort_array(F.collect_list("node")).alias("children")
+            )
+            joined = rows.join(below, "category_id", "left")
+            return joined.select(
+                "parent_category_id",
+                F.struct("category_id", "title", "children").alias("node"),
+                "category_id",
+            )
+
+        top = level(1, 99, level(100, 999, level(1000, 9999, None)))
+        return top.select(
+            F.concat(F.lit(f"c{suffix}"), F.col("category_id").cast("string")).alias("event_id"),
+            F.lit(time).cast("timestamp_ntz").alias("scrap_time"),
+            F.lit("category").alias("kind"),
+            F.to_json("node").alias("payload"),
+        )
+
+    return tree("", "2024-01-02 00:00:00").union(tree(" v2", "2024-01-20 00:00:00"))
+
+
 def derived_market(spark: SparkSession, folder: str) -> Marketplace:
     """A marketplace computed from the given tables on every read."""
     return Marketplace(

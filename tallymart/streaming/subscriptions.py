@@ -32,6 +32,7 @@ EVENT = (
     "payment_id bigint, user_id bigint, kind string, at timestamp_ntz, status string, "
     "subscription_type int, multiply int"
 )
+_FOLLOWED = ["at", "kind", "status", "user_id", "subscription_type", "multiply"]
 _STATE = "status string, user_id bigint, plan int, multiply int"
 
 
@@ -161,22 +162,25 @@ def _follow_payment(
 ) -> Iterator[pd.DataFrame]:
     """Keep one payment's status; yield a grant each time it turns successful."""
     status, user, plan, multiply = state.get if state.exists else (None, None, None, None)
-    events = pd.concat(list(batches))
-    events["rank"] = (events["kind"] != "created").astype(int)
+    chunks = list(batches)
+    columns = [
+        [value for batch in chunks for value in batch[name].tolist()] for name in _FOLLOWED
+    ]
+    ranked = sorted(zip(*columns, strict=True), key=lambda e: (e[0], e[1] != "created", e[2]))
     won = []
-    for event in events.sort_values(["at", "rank", "status"]).itertuples():
-        if event.kind == "created":
+    for at, kind, event_status, *origin in ranked:
+        if kind == "created":
             if user is not None:
                 continue
-            user, plan, multiply = event.user_id, event.subscription_type, event.multiply
+            user, plan, multiply = origin
         elif user is None:
             continue
-        if event.status == SUCCESS and status != SUCCESS:
-            units = int(multiply) if multiply > 1 else 1
-            won.append((key[0], int(user), event.at, units * UNIT_DAYS, int(plan)))
-        status = event.status
+        if event_status == SUCCESS and status != SUCCESS:
+            units = multiply if multiply > 1 else 1
+            won.append((key[0], user, at, units * UNIT_DAYS, plan))
+        status = event_status
     if user is not None:
-        state.update((status, int(user), int(plan), int(multiply)))
+        state.update((status, user, plan, multiply))
     if won:
         yield pd.DataFrame(won, columns=["payment_id", "user_id", "at", "days", "plan"])
 
@@ -185,6 +189,7 @@ def stream_grants(events: DataFrame) -> DataFrame:
     """Grants of a payment stream; the state is one status per payment."""
     return (
         known_events(events)
+        .fillna(0, ["user_id", "subscription_type", "multiply"])
         .groupBy("payment_id")
         .applyInPandasWithState(
             _follow_payment, GRANT, _STATE, "append", GroupStateTimeout.NoTimeout

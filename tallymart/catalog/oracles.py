@@ -206,7 +206,7 @@ def pct_count(previous: str, current: str) -> str:
     share = f"(cast(({current}) - ({previous}) AS double) / nullif(({previous}), 0)) * 100.0"
     return (
         f"CASE WHEN ({previous}) = 0 THEN cast(0 AS decimal(30,1)) ELSE "
-        f"cast(trunc(cast(({share}) AS decimal(38,15)) * 10) / 10 AS decimal(30,1)) END"
+        f"cast(trunc(cast(({share}) AS decimal(38,18)) * 10) / 10 AS decimal(30,1)) END"
     )
 
 

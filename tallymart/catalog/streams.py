@@ -146,16 +146,15 @@ def subscription_state(spark, folder):
 
 
 def stream_subscriptions(spark, folder):
-    """Grants kept as payment states on a stream, users as mergeable states."""
-    events = sample.payment_events(spark, folder)
+    """Payments kept as a state table, users as mergeable states."""
+    grants = fresh_folder(spark, "grants")
 
-    def start_grants(stream, path, checkpoint):
-        return tables.append_rows(subscriptions.stream_grants(stream), path, checkpoint)
+    def start_payments(stream, path, checkpoint):
+        return subscriptions.stream_payments(stream, path, grants, checkpoint)
 
-    parts = deliveries(events, "at", "1995-06-17")
-    granted = spark.read.parquet(
-        run(spark, parts, "parquet", subscriptions.EVENT, start_grants)
-    )
+    parts = deliveries(sample.payment_events(spark, folder), "at", "1995-06-17")
+    run(spark, parts, "parquet", subscriptions.EVENT, start_payments)
+    granted = spark.read.parquet(grants).drop("batch_id")
 
     def start_states(stream, path, checkpoint):
         return tables.for_each_batch(stream, subscriptions.user_states, path, checkpoint)

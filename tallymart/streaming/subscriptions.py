@@ -9,14 +9,14 @@ total and that maximum merges, so a user's state is two numbers per batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from tallymart.operators.running import running_sums
+from tallymart.streaming.tables import replace_batch
 
 # Days one payment unit buys, and days of a demo.
 UNIT_DAYS = 30
@@ -26,14 +26,23 @@ DEMO = "demo"
 PLAN_NAMES = {1: "default", 2: "advanced", 3: "pro"}
 SUCCESS = "success"
 UNKNOWN = "unknown"
+CARRIED = "carried"  # kind of the pseudo event that brings an earlier status
 
 GRANT = "payment_id bigint, user_id bigint, at timestamp_ntz, days int, plan int"
+EVENT_FIELDS = [
+    "payment_id",
+    "user_id",
+    "kind",
+    "at",
+    "status",
+    "subscription_type",
+    "multiply",
+]
 EVENT = (
     "payment_id bigint, user_id bigint, kind string, at timestamp_ntz, status string, "
     "subscription_type int, multiply int"
 )
-_FOLLOWED = ["at", "kind", "status", "user_id", "subscription_type", "multiply"]
-_STATE = "status string, user_id bigint, plan int, multiply int"
+CARRIED_FROM = dt.datetime(1, 1, 1)  # before any event
 
 
 def granted_days(multiply: Column) -> Column:
@@ -47,50 +56,52 @@ def _days(count: Column) -> Column:
 
 def known_events(events: DataFrame) -> DataFrame:
     """Events that may change a payment: unknown statuses are ignored."""
-    return events.where((F.col("kind") == "created") | (F.col("status") != UNKNOWN))
+    return events.where((F.col("kind") != "status") | (F.col("status") != UNKNOWN))
 
 
 def sequenced(events: DataFrame) -> DataFrame:
     """Events of each payment from its creation on, with the status before.
 
     Columns ``before`` and ``orphan`` tell the earlier status and whether the
-    payment was unknown at that time. A payment has a handful of events.
+    payment was unknown at that time. A second creation is ignored. A payment
+    has a handful of events.
     """
-    order = F.when(F.col("kind") == "created", 0).otherwise(1)
+    created = F.col("kind") != "status"
+    rank = F.when(created, 0).otherwise(1)
     upto = (
         Window.partitionBy("payment_id")
-        .orderBy("at", order, "status")
+        .orderBy("at", rank, "status")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    created = F.when(F.col("kind") == "created", F.struct("user_id", "subscription_type", "multiply"))
+    origin = F.when(created, F.struct("user_id", "subscription_type", "multiply"))
     marked = known_events(events).withColumns(
         {
-            "_origin": F.first(created, ignorenulls=True).over(upto),
-            "_creations": F.count(created).over(upto),
+            "_origin": F.first(origin, ignorenulls=True).over(upto),
+            "_creations": F.count(origin).over(upto),
         }
     )
-    orphan = F.col("_origin").isNull()
-    again = (F.col("kind") == "created") & (F.col("_creations") > 1)
-    kept = marked.withColumn("orphan", orphan).where(~again)
-    chain = Window.partitionBy("payment_id", "orphan").orderBy("at", order, "status")
+    kept = marked.withColumn("orphan", F.col("_origin").isNull()).where(
+        ~created | (F.col("_creations") == 1)
+    )
+    chain = Window.partitionBy("payment_id", "orphan").orderBy("at", rank, "status")
     return kept.withColumn("before", F.lag("status").over(chain))
 
 
 def grants(events: DataFrame) -> DataFrame:
     """One row each time a payment becomes successful."""
+    return _grants(sequenced(events))
+
+
+def _grants(chained: DataFrame) -> DataFrame:
     won = (F.col("status") == SUCCESS) & (
         F.col("before").isNull() | (F.col("before") != SUCCESS)
     )
-    return (
-        sequenced(events)
-        .where(~F.col("orphan") & won)
-        .select(
-            "payment_id",
-            F.col("_origin.user_id").alias("user_id"),
-            "at",
-            granted_days(F.col("_origin.multiply")).alias("days"),
-            F.col("_origin.subscription_type").alias("plan"),
-        )
+    return chained.where(~F.col("orphan") & won & (F.col("kind") != CARRIED)).select(
+        "payment_id",
+        F.col("_origin.user_id").alias("user_id"),
+        "at",
+        granted_days(F.col("_origin.multiply")).alias("days"),
+        F.col("_origin.subscription_type").alias("plan"),
     )
 
 
@@ -157,41 +168,76 @@ def demo_grants(asking: DataFrame, subscribed: DataFrame, at: Column) -> DataFra
     )
 
 
-def _follow_payment(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Keep one payment's status; yield a grant each time it turns successful."""
-    status, user, plan, multiply = state.get if state.exists else (None, None, None, None)
-    chunks = list(batches)
-    columns = [
-        [value for batch in chunks for value in batch[name].tolist()] for name in _FOLLOWED
-    ]
-    ranked = sorted(zip(*columns, strict=True), key=lambda e: (e[0], e[1] != "created", e[2]))
-    won = []
-    for at, kind, event_status, *origin in ranked:
-        if kind == "created":
-            if user is not None:
-                continue
-            user, plan, multiply = origin
-        elif user is None:
-            continue
-        if event_status == SUCCESS and status != SUCCESS:
-            units = multiply if multiply > 1 else 1
-            won.append((key[0], user, at, units * UNIT_DAYS, plan))
-        status = event_status
-    if user is not None:
-        state.update((status, user, plan, multiply))
-    if won:
-        yield pd.DataFrame(won, columns=["payment_id", "user_id", "at", "days", "plan"])
-
-
-def stream_grants(events: DataFrame) -> DataFrame:
-    """Grants of a payment stream; the state is one status per payment."""
+def carried(states: DataFrame, before_batch: int, events: DataFrame) -> DataFrame:
+    """The standing of the events' payments before a batch, as events.
+
+    ``states`` has one row per payment and batch that touched it; only payments
+    of this batch are kept before the newest row of each is taken.
+    """
+    touched = events.select("payment_id").distinct()
+    fields = ["user_id", "status", "subscription_type", "multiply"]
+    newest = (
+        states.where(F.col("batch_id") < before_batch)
+        .join(touched, "payment_id", "left_semi")
+        .groupBy("payment_id")
+        .agg(F.max(F.struct("batch_id", *fields)).alias("_state"))
+    )
+    return newest.select(
+        "payment_id",
+        F.col("_state.user_id").alias("user_id"),
+        F.lit(CARRIED).alias("kind"),
+        F.lit(CARRIED_FROM).cast("timestamp_ntz").alias("at"),
+        F.col("_state.status").alias("status"),
+        F.col("_state.subscription_type").alias("subscription_type"),
+        F.col("_state.multiply").alias("multiply"),
+    )
+
+
+def payment_states(chained: DataFrame) -> DataFrame:
+    """Newest status of every known payment of a batch."""
+    order = F.struct("at", F.when(F.col("kind") != "status", 0).otherwise(1), "status")
     return (
-        known_events(events)
-        .fillna(0, ["user_id", "subscription_type", "multiply"])
+        chained.where(~F.col("orphan"))
         .groupBy("payment_id")
-        .applyInPandasWithState(
-            _follow_payment, GRANT, _STATE, "append", GroupStateTimeout.NoTimeout
+        .agg(
+            F.max(F.struct(order.alias("order"), "_origin")).alias("_last"),
+        )
+        .select(
+            "payment_id",
+            F.col("_last.order.status").alias("status"),
+            F.col("_last._origin.user_id").alias("user_id"),
+            F.col("_last._origin.subscription_type").alias("subscription_type"),
+            F.col("_last._origin.multiply").alias("multiply"),
         )
     )
+
+
+def stream_payments(
+    events: DataFrame, states_path: str, grants_path: str, checkpoint: str
+) -> StreamingQuery:
+    """Keep the status of every payment and the grants of each batch.
+
+    A batch starts from the states earlier batches left, so a repeated batch
+    reads the same states and replaces its own rows. Everything is a join and a
+    window over the payments of the batch, however many they are.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = batch.select(*EVENT_FIELDS)
+        if number > 0:
+            states = spark.read.parquet(states_path)
+            known = known.unionByName(carried(states, number, known))
+        chained = sequenced(known).persist()
+        try:
+            replace_batch(_grants(chained), number, grants_path)
+            replace_batch(payment_states(chained), number, states_path)
+        finally:
+            chained.unpersist()
+
+    return (
+        events.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -198,11 +198,14 @@ def test_payment_stream(spark, tmp_path):
     table = spark.createDataFrame(events, subscriptions.EVENT)
     middle = F.lit(dt.datetime(2020, 6, 1))
     parts = [table.where(F.col("at") < middle), table.where(F.col("at") >= middle)]
+    grants = str(tmp_path / "grants")
 
     def start(stream, path, checkpoint):
-        return tables.append_rows(subscriptions.stream_grants(stream), path, checkpoint)
+        return subscriptions.stream_payments(stream, path, grants, checkpoint)
 
-    granted = drained(spark, parts, subscriptions.EVENT, start, tmp_path)
+    states = drained(spark, parts, subscriptions.EVENT, start, tmp_path)
+    assert states.select("batch_id").distinct().count() == 2
+    granted = spark.read.parquet(grants).drop("batch_id")
     assert by_row(granted) == by_row(subscriptions.grants(table))
     got = subscriptions.subscriptions(subscriptions.user_states(granted)).collect()
     assert {r.user_id: (r.subscription_type, r.subscription_end_at) for r in got} == simulate(events)

@@ -394,7 +394,7 @@ def gap_fill_carry_rows(spark, folder):
 def abc_classes(spark, folder):
     quantity = F.sum(F.col("l_quantity").cast("bigint")).alias("quantity")
     sold = sample.table(spark, folder, "lineitem").groupBy("l_returnflag", "l_partkey")
-    return abc_classify(sold.agg(quantity), ["l_returnflag"], "quantity", "abc")
+    return abc_classify(sold.agg(quantity), ["l_returnflag"], {"quantity": "abc"})
 
 
 def dynamic_filters(spark, folder):

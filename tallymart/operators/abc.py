@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,39 +13,51 @@ from tallymart.operators.spread import running_above
 A_BELOW = "0.81"
 B_BELOW = "0.96"
 
+EXACT = "decimal(20,2)"
+
 
-def abc_cutoffs(rows: DataFrame, report: list[str], value: str, out: str) -> DataFrame:
-    """Per report: the total and the smallest value that is still A or B.
+def abc_cutoffs(rows: DataFrame, report: list[str], values: list[str]) -> DataFrame:
+    """Per report and value column: the total and the smallest A and B values.
 
     The share of a value is everything greater plus itself once, over the
-    total. It never falls as the value falls, so two cut-offs say it all. The
-    value must be a long or decimal to keep the comparison exact.
+    total. It never falls as the value falls, so two cut-offs say it all. All
+    columns are ranked in one pass, in exact decimals.
     """
-    shares = running_above(rows, report, value)
-    reached = F.col("above") + F.col(value)
+    pairs = F.array(
+        *(F.struct(F.lit(v).alias("_metric"), F.col(v).cast(EXACT).alias("_value")) for v in values)
+    )
+    melted = rows.select(*report, F.inline(pairs))
+    shares = running_above(melted, [*report, "_metric"], "_value")
+    reached = F.col("above") + F.col("_value")
 
-    def smallest(limit: str):
+    def smallest(value: str, limit: str):
         bound = F.col("total") * F.lit(limit).cast("decimal(3,2)")
-        return F.min(F.when(reached < bound, F.col(value)))
+        within = (F.col("_metric") == value) & (reached < bound)
+        return F.min(F.when(within, F.col("_value")))
 
     return shares.groupBy(*report).agg(
-        F.max("total").alias(f"{out}_total"),
-        smallest(A_BELOW).alias(f"{out}_a"),
-        smallest(B_BELOW).alias(f"{out}_b"),
+        *(F.max(F.when(F.col("_metric") == v, F.col("total"))).alias(f"_{v}_total") for v in values),
+        *(smallest(v, A_BELOW).alias(f"_{v}_a") for v in values),
+        *(smallest(v, B_BELOW).alias(f"_{v}_b") for v in values),
     )
 
 
-def abc_classify(rows: DataFrame, report: list[str], value: str, out: str) -> DataFrame:
-    """Add the ABC class of ``value`` within ``report``; NULL if all is zero."""
-    cuts = abc_cutoffs(rows, report, value, "_cut")
-    grade = (
-        F.when(F.col("_cut_total") == 0, F.lit(None))
-        .when(F.col(value) >= F.col("_cut_a"), "A")
-        .when(F.col(value) >= F.col("_cut_b"), "B")
-        .otherwise("C")
-    )
-    return (
-        rows.join(cuts, report)
-        .withColumn(out, grade)
-        .drop("_cut_total", "_cut_a", "_cut_b")
+def abc_classify(rows: DataFrame, report: list[str], classes: Mapping[str, str]) -> DataFrame:
+    """Add ABC classes within ``report``; ``classes`` maps values to new columns.
+
+    The class is NULL where all values of a report are zero. The cut-offs have
+    one row per report, so the join carries no ranking.
+    """
+    cuts = abc_cutoffs(rows, report, list(classes))
+
+    def grade(value: str):
+        return (
+            F.when(F.col(f"_{value}_total") == 0, F.lit(None))
+            .when(F.col(value) >= F.col(f"_{value}_a"), "A")
+            .when(F.col(value) >= F.col(f"_{value}_b"), "B")
+            .otherwise("C")
+        )
+
+    return rows.join(cuts, report).select(
+        *rows.columns, *(grade(value).alias(out) for value, out in classes.items())
     )

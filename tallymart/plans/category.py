@@ -21,7 +21,7 @@ from tallymart.operators.gaps import fill_array
 from tallymart.operators.hierarchy import hierarchy
 from tallymart.operators.shaping import SortBy, dynamic_filter, page, with_total
 from tallymart.operators.spread import grouped_median
-from tallymart.plans.rollup import merge_product_days, product_days
+from tallymart.plans.rollup import merge_product_days, product_days, with_median
 from tallymart.plans.sales import product_sales
 from tallymart.sources.stores import latest, stage
 
@@ -64,7 +64,8 @@ def category_days(
     """
     skus = market.sku_days(list(attributes), start, end)
     by_category = product_days(skus, ["category_id"])
-    wide = in_subtree(market, by_category, roots)
+    priced = with_median(by_category, ["product_id", "date"])
+    wide = in_subtree(market, priced, roots)
     return with_orders(merge_product_days(wide, SCOPE), *SCOPE)
 
 
@@ -97,7 +98,7 @@ def category_daily_analytics(
 ) -> DataFrame:
     """Orders, stock, revenue and average bill of each category and day."""
     days = category_days(market, start, end, roots=roots)
-    minor = F.sum(F.col("orders") * hist_median(F.col("price_hist")))
+    minor = F.sum(F.col("orders") * F.col("median"))
     daily = days.groupBy("root_id", "date").agg(
         F.sum("orders").alias("order_amount"),
         F.sum("stock").alias("available_amount"),
@@ -170,8 +171,7 @@ def price_levels(days: DataFrame, keys: list[str]) -> DataFrame:
     This is the only wide aggregation: sums and the median of a category both
     follow from it, so it is staged rather than computed twice.
     """
-    priced = days.withColumn("median", hist_median(F.col("price_hist")))
-    return priced.groupBy(*keys, "median").agg(
+    return days.groupBy(*keys, "median").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("orders").alias("orders"),
         F.sum("stock").alias("stock"),

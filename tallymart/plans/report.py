@@ -28,7 +28,7 @@ COLUMNS = [
 def abc_report(sales: DataFrame, scope: list[str]) -> DataFrame:
     """Eleven columns per product of a sales report, classified within ``scope``.
 
-    The report is read once for the rows and once per class, so it is staged.
+    The report is read for its rows and again for the ranking, so it is staged.
     """
     rows = sales.select(
         *scope,
@@ -43,8 +43,8 @@ def abc_report(sales: DataFrame, scope: list[str]) -> DataFrame:
         F.round("sales", 2).cast("decimal(20,2)").alias("revenue"),
     )
     staged = stage(rows, "abc-report")
-    by_orders = abc_classify(staged, scope, "order_amount", "abc_orders")
-    both = abc_classify(by_orders, scope, "revenue", "abc_revenue")
+    classes = {"order_amount": "abc_orders", "revenue": "abc_revenue"}
+    both = abc_classify(staged, scope, classes)
     return both.select(*dict.fromkeys([*scope, *COLUMNS]))
 
 

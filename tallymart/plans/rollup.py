@@ -10,7 +10,7 @@ aggregating again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymart.functions.arrays import hist_median, last_value
@@ -154,14 +154,39 @@ def product_days(days: DataFrame, scope: list[str]) -> DataFrame:
     )
 
 
+def with_median(days: DataFrame, shared: list[str] | None = None) -> DataFrame:
+    """Replace the price histogram by its ``median`` where it is final.
+
+    With ``shared`` keys, a day with other rows of these keys keeps its
+    histogram, as it may still merge with them. Nearly every product stays in
+    one category all day, so that few histograms travel on.
+    """
+    median = hist_median(F.col("price_hist"))
+    if shared is None:
+        return days.withColumn("median", median).drop("price_hist")
+    alone = F.count(F.lit(1)).over(Window.partitionBy(*shared)) == 1
+    return (
+        days.withColumn("_alone", alone)
+        .withColumn("median", F.when(F.col("_alone"), median))
+        .withColumn("price_hist", F.when(~F.col("_alone"), F.col("price_hist")))
+        .drop("_alone")
+    )
+
+
 def merge_product_days(days: DataFrame, scope: list[str]) -> DataFrame:
-    """Merge product-day states of several categories into a wider scope."""
+    """Merge product-day states of several categories into a wider scope.
+
+    ``days`` come from ``with_median``; the result has a ``median`` throughout.
+    """
     known = set(days.columns)
     tops = [c for c in days.columns if c in _TOP or c.startswith("last_")]
+    merged = F.when(
+        F.max("median").isNull(), hist_median(F.flatten(F.collect_list("price_hist")))
+    ).otherwise(F.max("median"))
     return days.groupBy(*scope, "product_id", "date").agg(
         F.min("low").alias("low"),
         *(F.max(c).alias(c) for c in tops),
         *(F.min(c).alias(c) for c in ("stock",) if c in known),
         *(F.sum(c).alias(c) for c in ("stock_sum",) if c in known),
-        *(F.flatten(F.collect_list(c)).alias(c) for c in _JOINED if c in known),
+        merged.alias("median"),
     )

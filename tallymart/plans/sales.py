@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.functions.arrays import hist_median, last_value
+from tallymart.functions.arrays import last_value
 from tallymart.marketplace import Marketplace
 from tallymart.operators.hierarchy import with_title
 from tallymart.operators.shaping import with_total
@@ -14,11 +14,9 @@ from tallymart.operators.shaping import with_total
 def product_sales(market: Marketplace, days: DataFrame, scope: list[str]) -> DataFrame:
     """Daily arrays, last values and revenue of every product in a scope.
 
-    ``days`` are product-day states with ``orders``. A product has one row per
+    ``days`` are product-day states with ``orders`` and ``median``. A product has one row per
     day, which bounds its arrays by the calendar.
     """
-    price = hist_median(F.col("price_hist"))
-    priced = days.withColumn("median", price)
     at = F.col("date")
     series = F.array_sort(
         F.collect_list(
@@ -30,7 +28,7 @@ def product_sales(market: Marketplace, days: DataFrame, scope: list[str]) -> Dat
             )
         )
     )
-    merged = priced.groupBy(*scope, "product_id").agg(
+    merged = days.groupBy(*scope, "product_id").agg(
         series.alias("_days"),
         last_value(F.col("seller_title"), at).alias("seller_title"),
         last_value(F.col("last_seller_id.value"), at).alias("seller_id"),

@@ -8,12 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.functions.arrays import hist_median
 from tallymart.functions.numbers import ratio
 from tallymart.marketplace import Marketplace
 from tallymart.operators.counters import with_orders
 from tallymart.operators.shaping import page, with_total
-from tallymart.plans.rollup import product_days
+from tallymart.plans.rollup import product_days, with_median
 from tallymart.plans.sales import product_sales
 
 SCOPE = ["seller_link"]
@@ -26,11 +25,14 @@ def seller_days(
     attributes: Sequence[str],
     links: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Product-day states per seller link, with ``orders``."""
+    """Product-day states per seller link, with ``orders`` and the median if priced."""
     skus = market.sku_days(["seller_link", *attributes], start, end)
     if links is not None:
         skus = skus.where(F.col("seller_link").isin(list(links)))
-    return with_orders(product_days(skus, SCOPE), *SCOPE)
+    days = product_days(skus, SCOPE)
+    if "purchase_price" in attributes:
+        days = with_median(days)
+    return with_orders(days, *SCOPE)
 
 
 def seller_order_dynamic(
@@ -49,9 +51,7 @@ def seller_overall_info(
     The average price divides the prices of all products by the number of
     products *with sales*; results are expected that way.
     """
-    days = seller_days(market, start, end, ["purchase_price"], links).withColumn(
-        "median", hist_median(F.col("price_hist"))
-    )
+    days = seller_days(market, start, end, ["purchase_price"], links)
     products = days.groupBy(*SCOPE, "product_id").agg(
         F.sum("orders").alias("orders"),
         F.sum(F.col("orders") * F.col("median")).alias("minor"),

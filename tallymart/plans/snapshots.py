@@ -15,7 +15,7 @@ from tallymart.marketplace import Marketplace
 from tallymart.operators.counters import with_orders
 from tallymart.operators.spread import grouped_median
 from tallymart.plans.category import adhoc_columns, price_levels, zeros
-from tallymart.plans.rollup import merge_product_days, product_days
+from tallymart.plans.rollup import merge_product_days, product_days, with_median
 from tallymart.sources.stores import stage
 
 PERIODS = tuple(PERIOD_DAYS.values())
@@ -113,6 +113,7 @@ def _raw_days(market: Marketplace, as_of: dt.date, periods: Sequence[int]) -> Da
             F.collect_list(F.struct("price", "cnt")).alias("price_hist"),
             F.max("last_seen").alias("last_seen"),
         )
+        .transform(with_median, ["product_id", "date"])
         .join(market.top_subtree, "category_id")
         .withColumn(
             "last_category_id", F.struct("last_seen", F.col("category_id").alias("value"))
@@ -262,14 +263,14 @@ def category_daily_stats(
 ) -> DataFrame:
     """Unclamped orders, medians and distinct counts per category and day."""
     skus = market.sku_days(["purchase_price"], start, end)
-    days = with_orders(product_days(skus, []), clamp=False).select(
+    days = with_orders(with_median(product_days(skus, [])), clamp=False).select(
         F.col("last_category_id.value").alias("category_id"),
         "date",
         F.col("last_seller_id.value").alias("seller_id"),
         (F.col("orders") > 0).alias("sold"),
         "orders",
         "stock",
-        "price_hist",
+        "median",
     )
     keys = ["category_id", "date"]
     levels = stage(price_levels(days, [*keys, "seller_id", "sold"]), "daily-levels")

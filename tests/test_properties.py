@@ -80,7 +80,7 @@ def test_abc_against_every_other_row(spark):
     keys = one_hot(rng, 5, 800)
     rows = [(k, i, rng.choice([0, 1, rng.randrange(1000)])) for i, k in enumerate(keys)]
     table = spark.createDataFrame(rows, "k int, i int, v bigint")
-    got = {r.i: r.c for r in abc_classify(table, ["k"], "v", "c").collect()}
+    got = {r.i: r.c for r in abc_classify(table, ["k"], {"v": "c"}).collect()}
     for k, i, v in rows:
         group = [w for g, _, w in rows if g == k]
         share = (sum(w for w in group if w > v) + v) * 100

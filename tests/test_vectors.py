@@ -133,7 +133,7 @@ def test_a_cycle_is_an_error(spark):
 
 def classes(spark, values):
     rows = spark.createDataFrame([("r", i, v) for i, v in enumerate(values)], "r string, i int, v bigint")
-    return [r.c for r in abc_classify(rows, ["r"], "v", "c").orderBy("i").collect()]
+    return [r.c for r in abc_classify(rows, ["r"], {"v": "c"}).orderBy("i").collect()]
 
 
 def test_abc(spark):

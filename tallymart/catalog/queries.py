@@ -361,13 +361,18 @@ def median_with_sales(spark, folder):
 
 
 def first_last_value(spark, folder):
-    raw = sample.stored_market(spark, folder).products
-    order = F.col("timestamp"), F.col("sku_id")
-    return raw.groupBy("product_id").agg(
-        first_value(F.col("purchase_price"), *order).alias("first_price"),
-        last_value(F.col("purchase_price"), *order).alias("last_price"),
-        first_value(F.col("full_price"), *order).alias("first_full_price"),
-        last_value(F.col("photo_key"), *order).alias("last_photo_key"),
+    """Rows first collapse to the span of each combination of values."""
+    seen = (
+        sample.stored_market(spark, folder)
+        .products.groupBy("product_id", "sku_id", "purchase_price", "full_price", "photo_key")
+        .agg(F.min("timestamp").alias("since"), F.max("timestamp").alias("until"))
+    )
+    first, last = (F.col("since"), F.col("sku_id")), (F.col("until"), F.col("sku_id"))
+    return seen.groupBy("product_id").agg(
+        first_value(F.col("purchase_price"), *first).alias("first_price"),
+        last_value(F.col("purchase_price"), *last).alias("last_price"),
+        first_value(F.col("full_price"), *first).alias("first_full_price"),
+        last_value(F.col("photo_key"), *last).alias("last_photo_key"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -33,13 +34,25 @@ class Marketplace:
         return between(self.products, start, end)
 
     def sku_days(
-        self, attributes: list[str], start: dt.date | None = None, end: dt.date | None = None
+        self,
+        attributes: list[str],
+        start: dt.date | None = None,
+        end: dt.date | None = None,
+        member: Callable[[DataFrame], DataFrame] | None = None,
     ) -> DataFrame:
-        """Roll-up rows per SKU and day with only the wanted attributes."""
+        """Roll-up rows per SKU and day with only the wanted attributes.
+
+        ``member`` keeps the observations of some entity. Products without any
+        are left out before anything is merged; since a SKU-day may combine
+        observations of several entities, the caller still filters the result.
+        """
         if self.partials is None:
             source = rollup.observations(self.snapshots(start, end))
         else:
             source = between(self.partials, start, end, "date")
+        if member is not None:
+            products = member(source).select("product_id").distinct()
+            source = source.join(products, "product_id", "left_semi")
         return rollup.sku_days(rollup.merge(source, attributes))
 
     @cached_property

@@ -7,7 +7,8 @@ A category stands for its strict descendants, or for itself if it is a leaf.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,12 @@ def in_subtree(
     return rows.join(pairs, "category_id")
 
 
+def _member(market: Marketplace, roots: Sequence[int], rows: DataFrame) -> DataFrame:
+    """Rows whose category lies in the subtree of any of ``roots``."""
+    wanted = market.subtree.where(F.col("root_id").isin(list(roots))).select("category_id")
+    return rows.join(wanted, "category_id", "left_semi")
+
+
 def category_days(
     market: Marketplace,
     start: dt.date,
@@ -62,7 +69,8 @@ def category_days(
 
     SKU-days shrink to category x product x day before the tree multiplies them.
     """
-    skus = market.sku_days(list(attributes), start, end)
+    member = None if roots is None else partial(_member, market, roots)
+    skus = market.sku_days(list(attributes), start, end, member)
     by_category = product_days(skus, ["category_id"])
     priced = with_median(by_category, ["product_id", "date"])
     wide = in_subtree(market, priced, roots)
@@ -70,16 +78,21 @@ def category_days(
 
 
 def distinct_counts(
-    market: Marketplace, rows: DataFrame, keys: list[str], roots: Sequence[int] | None = None
+    market: Marketplace,
+    rows: DataFrame,
+    keys: list[str],
+    roots: Sequence[int] | None = None,
+    approximate: bool = False,
 ) -> DataFrame:
-    """Exact distinct sellers and products per root over roll-up rows."""
+    """Distinct sellers and products per root over roll-up rows, exact by default."""
     pairs = rows.select(*keys, "category_id", "seller_id", "product_id").distinct()
+    count = F.approx_count_distinct if approximate else F.count_distinct
     return (
         in_subtree(market, pairs, roots)
         .groupBy(*keys, "root_id")
         .agg(
-            F.count_distinct("seller_id").alias("seller_count"),
-            F.count_distinct("product_id").alias("product_count"),
+            count("seller_id").alias("seller_count"),
+            count("product_id").alias("product_count"),
         )
     )
 
@@ -300,13 +313,14 @@ def products_order_chart(
     end: dt.date,
     products: Sequence[int] | None = None,
     filled: bool = False,
+    member: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Daily counter range per product as an array in date order.
 
     ``filled`` gives every product one entry per day of [start, end); otherwise
     the array holds the observed days, as callers have always received it.
     """
-    skus = market.sku_days([], start, end)
+    skus = market.sku_days([], start, end, member)
     if products is not None:
         skus = skus.where(F.col("product_id").isin(list(products)))
     span = F.max("high") - F.min("low")
@@ -364,10 +378,19 @@ def category_products_analytics(
     counted = with_total(dynamic_filter(rows, filters), ["category_id"], "total_row_count")
     if limit is not None or sort or offset:
         counted = page(counted, sort, ["category_id", "product_id"], limit, offset)
-    chart = products_order_chart(market, start, end)
+    shown = None
+    if limit is not None:
+        counted = stage(counted, "page")
+        shown = partial(_shown, counted)
+    chart = products_order_chart(market, start, end, member=shown)
     return counted.join(chart, "product_id", "left")
 
 
+def _shown(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of the products of one page."""
+    return rows.join(table.select("product_id"), "product_id", "left_semi")
+
+
 def category_overall_info(
     market: Marketplace,
     start: dt.date,
@@ -381,6 +404,9 @@ def category_overall_info(
     raw = market.snapshots(start, end).where(
         F.col("timestamp") <= F.lit(end).cast("timestamp_ntz")
     )
+    if roots is not None:
+        named = raw.withColumn("category_id", F.col("latest_category_id"))
+        raw = _member(market, roots, named).drop("category_id")
     seen = raw.groupBy(
         F.col("latest_category_id").alias("category_id"),
         "product_id",

@@ -26,9 +26,11 @@ def seller_days(
     links: Sequence[str] | None = None,
 ) -> DataFrame:
     """Product-day states per seller link, with ``orders`` and the median if priced."""
-    skus = market.sku_days(["seller_link", *attributes], start, end)
-    if links is not None:
-        skus = skus.where(F.col("seller_link").isin(list(links)))
+    asked = None if links is None else F.col("seller_link").isin(list(links))
+    member = None if asked is None else lambda rows: rows.where(asked)
+    skus = market.sku_days(["seller_link", *attributes], start, end, member)
+    if asked is not None:
+        skus = skus.where(asked)
     days = product_days(skus, SCOPE)
     if "purchase_price" in attributes:
         days = with_median(days)

@@ -66,6 +66,12 @@ class Marketplace:
         pairs = hierarchy.subtree(self.categories, self.closure)
         return sized_broadcast(pairs.checkpoint())
 
+    @cached_property
+    def roots_of(self) -> DataFrame:
+        """(category_id, roots): every category whose subtree holds this one."""
+        roots = F.array_sort(F.collect_list("root_id")).alias("roots")
+        return sized_broadcast(self.subtree.groupBy("category_id").agg(roots).checkpoint())
+
     @cached_property
     def top_subtree(self) -> DataFrame:
         """The subtree of the top categories only."""

@@ -10,7 +10,7 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymart.functions.arrays import hist_median, last_value, ordered_array
@@ -27,7 +27,7 @@ from tallymart.plans.sales import product_sales
 from tallymart.sources.stores import latest, stage
 
 PRICE = ["purchase_price"]
-SCOPE = ["root_id"]
+SCOPE = ["scope_id", "shared"]
 
 # Names a ranking of categories may be sorted by.
 RANKING_FIELDS = {
@@ -58,6 +58,14 @@ def _member(market: Marketplace, roots: Sequence[int], rows: DataFrame) -> DataF
     return rows.join(wanted, "category_id", "left_semi")
 
 
+def _roots_of(market: Marketplace, roots: Sequence[int] | None) -> DataFrame:
+    """(category_id, roots), narrowed to some roots."""
+    if roots is None:
+        return market.roots_of
+    wanted = F.filter("roots", lambda root: root.isin(list(roots)))
+    return market.roots_of.select("category_id", wanted.alias("roots")).where(F.size("roots") > 0)
+
+
 def category_days(
     market: Marketplace,
     start: dt.date,
@@ -65,18 +73,44 @@ def category_days(
     attributes: Sequence[str] = PRICE,
     roots: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Product-day states per root, with ``orders``; filtered before the lag.
+    """Product-day states with ``orders`` and ``median``; filtered before the lag.
 
-    SKU-days shrink to category x product x day before the tree multiplies them.
+    A product seen in a single category has the same days under each of its
+    roots. It stays one row per day under that category, ``shared``, until
+    ``to_roots`` spreads the aggregates. Only products that moved are repeated
+    per root, where different days remain.
     """
     member = None if roots is None else partial(_member, market, roots)
     skus = market.sku_days(list(attributes), start, end, member)
-    by_category = product_days(skus, ["category_id"])
-    priced = with_median(by_category, ["product_id", "date"])
-    wide = in_subtree(market, priced, roots)
+    placed = product_days(skus, ["category_id"]).join(_roots_of(market, roots), "category_id")
+    product = Window.partitionBy("product_id")
+    moved = F.min("category_id").over(product) != F.max("category_id").over(product)
+
+    def scope(number: Column, shared: bool) -> Column:
+        return F.struct(number.alias("scope_id"), F.lit(shared).alias("shared"))
+
+    scopes = F.when(
+        F.col("moved"), F.transform("roots", lambda root: scope(root, False))
+    ).otherwise(F.array(scope(F.col("category_id"), True)))
+    wide = (
+        placed.withColumn("moved", moved)
+        .transform(with_median, ~F.col("moved"))
+        .select("*", F.inline(scopes))
+        .drop("roots", "moved")
+    )
     return with_orders(merge_product_days(wide, SCOPE), *SCOPE)
 
 
+def to_roots(
+    market: Marketplace, rows: DataFrame, roots: Sequence[int] | None = None
+) -> DataFrame:
+    """Turn the scope of aggregated rows into ``root_id``, spreading shared ones."""
+    above = _roots_of(market, roots).withColumnRenamed("category_id", "scope_id")
+    targets = F.when(F.col("shared"), F.col("roots")).otherwise(F.array("scope_id"))
+    spread = rows.join(above, "scope_id", "left").withColumn("root_id", F.explode(targets))
+    return spread.drop("roots", *SCOPE)
+
+
 def distinct_counts(
     market: Marketplace,
     rows: DataFrame,
@@ -111,11 +145,19 @@ def category_daily_analytics(
 ) -> DataFrame:
     """Orders, stock, revenue and average bill of each category and day."""
     days = category_days(market, start, end, roots=roots)
-    minor = F.sum(F.col("orders") * F.col("median"))
-    daily = days.groupBy("root_id", "date").agg(
-        F.sum("orders").alias("order_amount"),
-        F.sum("stock").alias("available_amount"),
-        F.greatest(minor, F.lit(0.0)).alias("_minor"),
+    sums = days.groupBy(*SCOPE, "date").agg(
+        F.sum("orders").alias("orders"),
+        F.sum("stock").alias("stock"),
+        F.sum(F.col("orders") * F.col("median")).alias("minor"),
+    )
+    daily = (
+        to_roots(market, sums, roots)
+        .groupBy("root_id", "date")
+        .agg(
+            F.sum("orders").alias("order_amount"),
+            F.sum("stock").alias("available_amount"),
+            F.greatest(F.sum("minor"), F.lit(0.0)).alias("_minor"),
+        )
     )
     revenue = F.col("_minor") / 100
     return daily.select(
@@ -135,13 +177,14 @@ def category_analytics_adhoc(
 ) -> DataFrame:
     """One row per category over a date range, prices in minor units."""
     days = category_days(market, start, end, roots=roots)
-    levels = stage(price_levels(days, SCOPE), "category-levels")
-    sums = levels.groupBy(*SCOPE).agg(
+    by_root = to_roots(market, price_levels(days, SCOPE), roots)
+    levels = stage(merge_levels(by_root, ["root_id"]), "category-levels")
+    sums = levels.groupBy("root_id").agg(
         F.sum("orders").alias("order_amount"),
         F.sum("stock").alias("available_amount"),
         F.sum("minor").alias("revenue"),
     )
-    medians = grouped_median(levels, SCOPE, "median", "median_price", F.col("n"))
+    medians = grouped_median(levels, ["root_id"], "median", "median_price", F.col("n"))
     counts = distinct_counts(market, market.sku_days([], start, end), [], roots)
     joined = (
         _all_roots(market, roots)
@@ -192,6 +235,13 @@ def price_levels(days: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def merge_levels(levels: DataFrame, keys: list[str]) -> DataFrame:
+    """Add up price levels of several scopes."""
+    return levels.groupBy(*keys, "median").agg(
+        *(F.sum(c).alias(c) for c in ("n", "orders", "stock", "minor"))
+    )
+
+
 def category_analytics_with_prev(
     market: Marketplace,
     stats: DataFrame,
@@ -479,7 +529,8 @@ def category_sales_report(
     """Sales report of the products of each category."""
     attributes = ["purchase_price", "title", "seller_title"]
     days = category_days(market, start, end, attributes, roots)
-    report = product_sales(market, days, SCOPE).withColumnRenamed("root_id", "category_id")
+    spread = to_roots(market, product_sales(market, days, SCOPE), roots)
+    report = with_total(spread.withColumnRenamed("root_id", "category_id"), ["category_id"])
     if limit is None and not offset:
         return report
     return page(report, (), ["category_id", "product_id"], limit, offset)

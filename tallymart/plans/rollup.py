@@ -10,7 +10,7 @@ aggregating again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.functions.arrays import hist_median, last_value
@@ -154,22 +154,20 @@ def product_days(days: DataFrame, scope: list[str]) -> DataFrame:
     )
 
 
-def with_median(days: DataFrame, shared: list[str] | None = None) -> DataFrame:
-    """Replace the price histogram by its ``median`` where it is final.
+def with_median(days: DataFrame, final: Column | None = None) -> DataFrame:
+    """Replace the price histogram by its ``median`` where that is final.
 
-    With ``shared`` keys, a day with other rows of these keys keeps its
-    histogram, as it may still merge with them. Nearly every product stays in
-    one category all day, so that few histograms travel on.
+    Rows that may still merge with others are not ``final`` and keep their
+    histogram; without the condition all rows are.
     """
     median = hist_median(F.col("price_hist"))
-    if shared is None:
+    if final is None:
         return days.withColumn("median", median).drop("price_hist")
-    alone = F.count(F.lit(1)).over(Window.partitionBy(*shared)) == 1
     return (
-        days.withColumn("_alone", alone)
-        .withColumn("median", F.when(F.col("_alone"), median))
-        .withColumn("price_hist", F.when(~F.col("_alone"), F.col("price_hist")))
-        .drop("_alone")
+        days.withColumn("_final", final)
+        .withColumn("median", F.when(F.col("_final"), median))
+        .withColumn("price_hist", F.when(~F.col("_final"), F.col("price_hist")))
+        .drop("_final")
     )
 
 

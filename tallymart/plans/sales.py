@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tallymart.functions.arrays import last_value
 from tallymart.marketplace import Marketplace
 from tallymart.operators.hierarchy import with_title
-from tallymart.operators.shaping import with_total
 
 
 def product_sales(market: Marketplace, days: DataFrame, scope: list[str]) -> DataFrame:
@@ -51,5 +50,4 @@ def product_sales(market: Marketplace, days: DataFrame, scope: list[str]) -> Dat
         "sales",
         "name",
     )
-    titled = with_title(report, market.titles, "latest_category_id", "category_name")
-    return with_total(titled, scope)
+    return with_title(report, market.titles, "latest_category_id", "category_name")

@@ -80,7 +80,7 @@ def seller_sales_report(
 ) -> DataFrame:
     """Sales report of the products of each seller."""
     days = seller_days(market, start, end, ["purchase_price", "title", "seller_title"], links)
-    report = product_sales(market, days, SCOPE)
+    report = with_total(product_sales(market, days, SCOPE), SCOPE)
     if limit is None and not offset:
         return report
     return page(report, (), [*SCOPE, "product_id"], limit, offset)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymart.functions.arrays import hist_median, last_value
@@ -103,6 +103,7 @@ def _raw_days(market: Marketplace, as_of: dt.date, periods: Sequence[int]) -> Da
         F.min("total_available_amount").alias("stock"),
         F.max("timestamp").alias("last_seen"),
     )
+    alone = F.count(F.lit(1)).over(Window.partitionBy("product_id", "date")) == 1
     by_category = (
         collapsed.repartition("product_id")
         .groupBy("product_id", "date", "at_midnight", "category_id")
@@ -113,7 +114,7 @@ def _raw_days(market: Marketplace, as_of: dt.date, periods: Sequence[int]) -> Da
             F.collect_list(F.struct("price", "cnt")).alias("price_hist"),
             F.max("last_seen").alias("last_seen"),
         )
-        .transform(with_median, ["product_id", "date"])
+        .transform(with_median, alone)
         .join(market.top_subtree, "category_id")
         .withColumn(
             "last_category_id", F.struct("last_seen", F.col("category_id").alias("value"))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +165,47 @@ def test_report_export(shop, spark, tmp_path):
     written = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert written.count() == table.count()
     assert set(written.columns) == {"seller_link", *report.COLUMNS}
+
+
+BELOW = {1: {2, 3, 4}, 2: {4}, 3: {3}, 4: {4}}
+
+
+def brute_category_days(rows):
+    """Orders, stock and revenue by root and day, the direct way."""
+    placed = {}
+    for r in rows:
+        sku_day = (r["product_id"], r["sku_id"], r["timestamp"].date())
+        placed[sku_day] = max(placed.get(sku_day, 0), r["latest_category_id"])
+    out = {}
+    for root, inside in BELOW.items():
+        days = {}
+        for r in rows:
+            day = r["timestamp"].date()
+            if placed[r["product_id"], r["sku_id"], day] in inside:
+                days.setdefault((r["product_id"], day), []).append(r)
+        last = {}
+        for (item, day), seen in sorted(days.items(), key=lambda x: x[0]):
+            counts = [r["total_orders_amount"] for r in seen]
+            before = last.get(item, 0)
+            orders = max(0, max(counts) - (before if before > 0 else min(counts)))
+            last[item] = max(counts)
+            price = statistics.median([r["purchase_price"] for r in seen])
+            sums = out.setdefault((root, day), [0, 0, 0.0])
+            sums[0] += orders
+            sums[1] += min(r["available_amount"] for r in seen)
+            sums[2] += orders * price
+    return {key: (n, stock, round(minor / 100, 2)) for key, (n, stock, minor) in out.items()}
+
+
+@pytest.mark.parametrize("seed", [31, 32])
+def test_products_that_move_and_products_that_stay(market, seed):
+    rows = random_snapshots(seed, 400)
+    for row in rows:
+        if row["product_id"] in (0, 1):
+            row["latest_category_id"] = 4 - row["product_id"]
+    table = category.category_daily_analytics(market(rows), START, END)
+    got = {
+        (r.category_id, r.date): (r.order_amount, r.available_amount, r.revenue)
+        for r in table.collect()
+    }
+    assert got == brute_category_days(rows)

@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Histograms are gathered for far more groups than fit a hash table of
+    # objects; sorting at once, which spills, spares the attempt.
+    "spark.sql.execution.useObjectHashAggregateExec": "false",
 }
 
 

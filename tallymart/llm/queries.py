@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tallymart.llm import chat_format, packing, quality_rules, sentence_pieces
+from tallymart.llm import chat_format, packing, quality_rules, sentence_pieces, vector_search
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
+    "op10_vector_search": vector_search.op10_vector_search,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_chat_format": chat_format.op8_chat_format,
 }
 
 ORACLES = {
+    "op10_vector_search": vector_search.OP10_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
 }

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from tallymart.llm import chat_format, packing, quality_rules, sentence_pieces, vector_search
+from tallymart.llm import (
+    chat_format,
+    language_id,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sentence_pieces,
+    substring_dedup,
+    vector_search,
+)
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
     "op10_vector_search": vector_search.op10_vector_search,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op6_language_id": language_id.op6_language_id,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_chat_format": chat_format.op8_chat_format,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tallymart.llm import (
     chat_format,
     jaccard_join,
+    katz,
     language_id,
     packing,
     quality_classifier,
@@ -20,6 +21,7 @@ QUERIES = {
     "op10_vector_search": vector_search.op10_vector_search,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_katz": katz.op5_katz,
     "op6_language_id": language_id.op6_language_id,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op7_quality_rules": quality_rules.op7_quality_rules,

@@ -9,16 +9,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.llm import quality_rules
+from tallymart.llm import jaccard_join, packing, quality_classifier, quality_rules, substring_dedup
 from tallymart.session import fresh_folder
 
 
+def classifier(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = quality_classifier.classify(docs, labels)
+    return judged.filter("quality_kept").select(*map(F.col, docs.columns))
+
+
 def rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality_rules.judge(docs).filter("kept").select(*map(F.col, docs.columns))
 
 
-STAGES = [("quality_rules", rules)]
+def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    others = jaccard_join.join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*map(F.col, docs.columns))
+
+
+def passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that earlier ones have too."""
+    kept = substring_dedup.dedup(docs)
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", length).select(*map(F.col, docs.columns))
+
+
+def sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in the packed sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("copy")
+
+
+STAGES = [
+    ("quality_classifier", classifier),
+    ("quality_rules", rules),
+    ("jaccard_join", near_copies),
+    ("substring_dedup", passages),
+    ("packing", sequences),
+]
 
 # Models and packing cannot be said in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None

@@ -339,7 +339,6 @@ def join(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     (
         tokens.join(entries.filter("hub < last").select("token", "hub"), "token")
         .join(reps, "doc_id")
-        .distinct()
         .write.parquet(index_at)
     )
     index = spark.read.parquet(index_at)
@@ -348,6 +347,7 @@ def join(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     stars = (
         index.filter("hub <> doc_id").groupBy("doc_id", "hub", "n").agg(F.count("*").alias("shared"))
         .join(reps.select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")), "hub")
+        .filter(f"100 * n >= {PERCENT} * hub_n AND 100 * hub_n >= {PERCENT} * n")
         .filter(enough_shared(F.col("shared"), F.col("n"), F.col("hub_n")))
         .groupBy("doc_id")
         .agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))

@@ -366,7 +366,7 @@ def test_katz_adds_up_and_scores(spark, docs, empty, texts):
         base = sum(math.log10((counts[word] + 1) / (total + kinds + 1)) for word in tokens) + math.log10((ends + 1) / (total + kinds + 1))
         assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (len(tokens) + 1, sum(word in counts for word in tokens) + 1, total)
         assert math.isclose(row["base_score"], base, rel_tol=1e-9) and row["score"] < 0
-    model = katz.Model(held.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out")), 40, 500)
+    model = katz.Model(held.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out")), 40, 500)
     chance, weights = model.chances.value, model.weights.value
     assert math.isclose(chance.sum(), 1)
     sums, lower = np.zeros(len(weights)), np.zeros(len(weights))

@@ -656,6 +656,14 @@ ORACLES["latest_snapshot"] = query(
     """SELECT *, cast(timestamp AS date) AS snapshot_date FROM pos
 WHERE cast(timestamp AS date) = (SELECT max(cast(timestamp AS date)) FROM pos)""",
 )
+ORACLES["latest_per_period"] = query(
+    "pos",
+    """SELECT kept.* FROM kept JOIN (SELECT period, max(snapshot_date) AS snapshot_date FROM kept GROUP BY period)
+USING (period, snapshot_date)""",
+    kept="""SELECT * FROM (SELECT *, cast(timestamp AS date) AS snapshot_date,
+CASE WHEN product_id % 2 = 0 THEN 7 ELSE 14 END AS period FROM pos)
+WHERE NOT (period = 14 AND snapshot_date > DATE '2024-01-20')""",
+)
 ORACLES["retention"] = query(
     "pos", "SELECT * FROM pos WHERE timestamp + INTERVAL 1 MONTH > TIMESTAMP '2024-02-15'"
 )
@@ -833,3 +841,6 @@ TIMESTAMP '2024-02-03' AS subscription_end_at
 FROM plans WHERE subscription_type IS NULL AND user_id NOT IN (SELECT user_id FROM subs)""",
     **PAYMENTS,
 )
+ORACLES["payment_stream_late"] = ORACLES["stream_subscriptions"]
+ORACLES["quarantine_events"] = """SELECT CASE event_id % 97 WHEN 1 THEN 'no_id' WHEN 2 THEN 'bad_price' ELSE 'bad_shape' END AS reason,
+cast(ts AS date) AS date, count(*) AS events FROM events WHERE event_id % 97 IN (1, 2, 3) GROUP BY ALL"""

@@ -248,6 +248,18 @@ def latest_snapshot(spark, folder):
     return stores.latest(days)
 
 
+def latest_per_period(spark, folder):
+    """Newest snapshots where one period was not taken on the last days."""
+    days = sample.product_position(spark, folder).withColumns(
+        {
+            "snapshot_date": F.to_date("timestamp"),
+            "period": F.when(F.col("product_id") % 2 == 0, 7).otherwise(14),
+        }
+    )
+    late = (F.col("period") == 14) & (F.col("snapshot_date") > F.lit(dt.date(2024, 1, 20)))
+    return stores.latest(days.where(~late))
+
+
 RETAINED_AT = dt.date(2024, 2, 15)
 
 
@@ -517,6 +529,7 @@ QUERIES: dict[str, Query] = {
     "daily_sales_merge": daily_sales_merge,
     "snapshot_idempotent": snapshot_idempotent,
     "latest_snapshot": latest_snapshot,
+    "latest_per_period": latest_per_period,
     "retention": retention,
     "upsert_categories": upsert_categories,
     "upsert_sellers": upsert_sellers,

@@ -145,14 +145,50 @@ def subscription_state(spark, folder):
     return subscriptions.subscription_state(sample.payment_events(spark, folder))
 
 
+def quarantine_events(spark, folder):
+    """Unreadable events by reason and day, some made so for the trial."""
+    known = sample.stored_envelopes(spark, folder)
+    number = F.substring("event_id", 2, 30).try_cast("bigint")
+    product = F.col("event_id").startswith("p")
+    priceless = F.regexp_replace("payload", '"purchase_price":"[^"]*"', '"purchase_price":"abc"')
+    shapeless = F.regexp_replace("payload", '"skus":', '"goods":')
+    payload = (
+        F.when(product & (number % 97 == 2), priceless)
+        .when(product & (number % 97 == 3), shapeless)
+        .otherwise(F.col("payload"))
+    )
+
+    def start(stream, path, checkpoint):
+        return tables.append_rows(env.routed(stream), path, checkpoint)
+
+    parts = deliveries(known.withColumn("payload", payload), "scrap_time", MIDDLE)
+    rows = spark.read.parquet(run(spark, parts, "json", schemas.ENVELOPE, start))
+    return (
+        rows.where(F.col("target") == env.QUARANTINE)
+        .groupBy("reason", F.to_date("scrap_time").alias("date"))
+        .agg(F.count(F.lit(1)).alias("events"))
+    )
+
+
+def payment_stream_late(spark, folder):
+    """As ``stream_subscriptions``, with every status delivered before its payment."""
+    events = sample.payment_events(spark, folder)
+    status = F.col("kind") == "status"
+    return _streamed_payments(spark, [events.where(status), events.where(~status)])
+
+
 def stream_subscriptions(spark, folder):
     """Payments kept as a state table, users as mergeable states."""
+    parts = deliveries(sample.payment_events(spark, folder), "at", "1995-06-17")
+    return _streamed_payments(spark, parts)
+
+
+def _streamed_payments(spark, parts):
     grants = fresh_folder(spark, "grants")
 
     def start_payments(stream, path, checkpoint):
         return subscriptions.stream_payments(stream, path, grants, checkpoint)
 
-    parts = deliveries(sample.payment_events(spark, folder), "at", "1995-06-17")
     run(spark, parts, "parquet", subscriptions.EVENT, start_payments)
     granted = spark.read.parquet(grants).drop("batch_id")
 
@@ -202,6 +238,8 @@ QUERIES = {
     "stream_sellers": stream_sellers,
     "subscription_state": subscription_state,
     "stream_subscriptions": stream_subscriptions,
+    "payment_stream_late": payment_stream_late,
+    "quarantine_events": quarantine_events,
     "payment_orphans": payment_orphans,
     "demo_grant": demo_grant,
     "key_sharing_detector": key_sharing_detector,

@@ -63,7 +63,11 @@ def to_money(amount: Column) -> Column:
 
 
 def price_to_minor(text: Column) -> Column:
-    """``"12.50"`` to 1250; an empty string to NULL."""
-    return (
-        F.nullif(text, F.lit("")).cast("decimal(20,4)") * F.lit(100).cast("decimal(3,0)")
-    ).cast("bigint")
+    """``"12.50"`` to 1250; an empty or unreadable string to NULL."""
+    amount = F.nullif(text, F.lit("")).try_cast("decimal(20,4)")
+    return (amount * F.lit(100).cast("decimal(3,0)")).cast("bigint")
+
+
+def unreadable_price(text: Column) -> Column:
+    """Whether a text is there but is no price."""
+    return F.coalesce((text != "") & text.try_cast("decimal(20,4)").isNull(), F.lit(False))

@@ -57,7 +57,10 @@ class Marketplace:
 
     @cached_property
     def closure(self) -> DataFrame:
-        """Ancestor pairs of the category tree, walked once per marketplace."""
+        """Ancestor pairs of the category tree, walked once per marketplace.
+
+        Sets the checkpoint folder that what is built on it needs too.
+        """
         return hierarchy.closure(self.categories)
 
     @cached_property

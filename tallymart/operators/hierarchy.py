@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymart.session import shared_folder
+
 ABOVE_ALL = 0  # Fixed value: the parent id of every top category.
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """Every (root_id, category_id, level) pair of ancestor and descendant.
 
-    One join per tree level, stopping when a level is empty. The result is
-    checkpointed, so later queries scan it instead of walking the tree again.
+    One join per tree level, stopping when a level is empty. Levels and the
+    result are checkpointed, so no level walks those before it again, and later queries scan it instead of walking the tree again.
     """
     links = edges.select("category_id", "parent_category_id")
     frontier = links.select(
@@ -20,7 +22,8 @@ def closure(edges: DataFrame) -> DataFrame:
         "category_id",
         F.lit(1).alias("level"),
     )
-    levels, deepest = [frontier], None
+    shared_folder(edges.sparkSession)
+    levels = [frontier]
     while True:
         frontier = frontier.join(
             links.select(
@@ -33,12 +36,12 @@ def closure(edges: DataFrame) -> DataFrame:
             "category_id",
             (F.col("level") + 1).alias("level"),
         )
+        frontier = frontier.checkpoint()
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-        deepest = edges.count() if deepest is None else deepest
-        if len(levels) > deepest:
+        if not frontier.where("root_id = category_id").isEmpty():
             raise ValueError("the category tree contains a cycle")
+        levels.append(frontier)
     pairs = levels[0]
     for level in levels[1:]:
         pairs = pairs.union(level)

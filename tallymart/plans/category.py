@@ -20,7 +20,7 @@ from tallymart.marketplace import Marketplace
 from tallymart.operators.counters import with_orders
 from tallymart.operators.gaps import fill_array
 from tallymart.operators.hierarchy import hierarchy
-from tallymart.operators.shaping import SortBy, dynamic_filter, page, with_total
+from tallymart.operators.shaping import SortBy, dynamic_filter, page, sort_columns, with_total
 from tallymart.operators.spread import grouped_median
 from tallymart.plans.rollup import merge_product_days, product_days, with_median
 from tallymart.plans.sales import product_sales
@@ -185,7 +185,8 @@ def category_analytics_adhoc(
         F.sum("minor").alias("revenue"),
     )
     medians = grouped_median(levels, ["root_id"], "median", "median_price", F.col("n"))
-    counts = distinct_counts(market, market.sku_days([], start, end), [], roots)
+    member = None if roots is None else partial(_member, market, roots)
+    counts = distinct_counts(market, market.sku_days([], start, end, member), [], roots)
     joined = (
         _all_roots(market, roots)
         .join(sums, "root_id", "left")
@@ -433,7 +434,11 @@ def category_products_analytics(
         counted = stage(counted, "page")
         shown = partial(_shown, counted)
     chart = products_order_chart(market, start, end, member=shown)
-    return counted.join(chart, "product_id", "left")
+    joined = counted.join(chart, "product_id", "left")
+    if limit is None:
+        return joined
+    # A join keeps no order; a page is small enough to be sorted again.
+    return joined.orderBy(*sort_columns(joined, sort, ["category_id", "product_id"]))
 
 
 def _shown(table: DataFrame, rows: DataFrame) -> DataFrame:

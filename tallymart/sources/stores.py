@@ -74,9 +74,19 @@ def retain(table: DataFrame, keep: str, as_of: dt.date, time: str = "timestamp")
     return table.where(F.col(time) > surely_over).where(F.col(time) + span > now)
 
 
-def latest(table: DataFrame, date: str = "snapshot_date") -> DataFrame:
-    """Rows of the newest snapshot; other partitions are not read."""
-    return table.where(F.col(date) == table.agg(F.max(date)).scalar())
+def latest(
+    table: DataFrame, date: str = "snapshot_date", period: str = "period"
+) -> DataFrame:
+    """Rows of the newest snapshot of every period; other partitions are not read.
+
+    Periods are snapshot on their own, so each has a newest day of its own. They
+    are a handful, which bounds what is broadcast. Without a period column the
+    whole table has one newest day.
+    """
+    if period not in table.columns:
+        return table.where(F.col(date) == table.agg(F.max(date)).scalar())
+    newest = table.groupBy(period).agg(F.max(date).alias(date))
+    return table.join(F.broadcast(newest), [period, date], "left_semi")
 
 
 def write_snapshot(table: DataFrame, path: str) -> None:

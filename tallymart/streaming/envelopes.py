@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tallymart import schemas
 from tallymart.functions.maps import last_wins_map
-from tallymart.functions.numbers import price_to_minor
+from tallymart.functions.numbers import price_to_minor, unreadable_price
 
 # The kinds of events handled, each with the id its payload must have.
 KINDS = {"product": "product_id", "position": "product_id", "category": "category_id"}
 QUARANTINE = "quarantine"
+NO_ID, BAD_SHAPE, BAD_PRICE = "no_id", "bad_shape", "bad_price"
 
 
 def read_stream(
@@ -28,27 +29,53 @@ def _id(kind: str) -> Column:
     return F.from_json("payload", f"{KINDS[kind]} bigint")[KINDS[kind]]
 
 
+def _product_fault(p: Column) -> Column:
+    """Why a parsed product event cannot become rows, or NULL."""
+    skus = p["skus"]
+    shapeless = skus.isNull() | (F.size(skus) == 0) | F.exists(skus, lambda sku: sku["sku_id"].isNull())
+    priceless = F.exists(
+        skus,
+        lambda sku: unreadable_price(sku["full_price"]) | unreadable_price(sku["purchase_price"]),
+    )
+    return (
+        F.when(p["product_id"].isNull(), NO_ID).when(shapeless, BAD_SHAPE).when(priceless, BAD_PRICE)
+    )
+
+
+def fault(kind: Column, payload: Column) -> Column:
+    """Why an event is not readable, or NULL; its payload is parsed once."""
+    reason = F.when(
+        kind == "product", _product_fault(F.from_json(payload, schemas.PRODUCT_PAYLOAD))
+    )
+    for other in KINDS:
+        if other != "product":
+            reason = reason.when((kind == other) & _id(other).isNull(), NO_ID)
+    return reason
+
+
 def routed(envelopes: DataFrame) -> DataFrame:
-    """Add ``target``: the kind, or quarantine if the payload has no readable id.
+    """Add ``target``, the kind or quarantine, and ``reason`` for the latter.
 
-    Envelopes of other kinds are dropped.
+    Envelopes of other kinds are dropped; of the rest none is lost.
     """
-    target = F.lit(QUARANTINE)
-    for kind in KINDS:
-        readable = (F.col("kind") == kind) & _id(kind).isNotNull()
-        target = F.when(readable, kind).otherwise(target)
-    return envelopes.where(F.col("kind").isin(*KINDS)).withColumn("target", target)
+    known = envelopes.where(F.col("kind").isin(*KINDS))
+    known = known.withColumn("reason", fault(F.col("kind"), F.col("payload")))
+    return known.withColumn(
+        "target", F.when(F.col("reason").isNotNull(), QUARANTINE).otherwise(F.col("kind"))
+    )
 
 
 def of_kind(envelopes: DataFrame, kind: str) -> DataFrame:
-    """Readable envelopes of one kind."""
+    """Readable envelopes of one kind other than products."""
     return envelopes.where((F.col("kind") == kind) & _id(kind).isNotNull())
 
 
 def product_rows(envelopes: DataFrame) -> DataFrame:
     """One raw snapshot row per SKU of every product event."""
-    events = of_kind(envelopes, "product").select(
-        "scrap_time", F.from_json("payload", schemas.PRODUCT_PAYLOAD).alias("p")
+    events = (
+        envelopes.where(F.col("kind") == "product")
+        .select("scrap_time", F.from_json("payload", schemas.PRODUCT_PAYLOAD).alias("p"))
+        .where(_product_fault(F.col("p")).isNull())
     )
     rows = events.select("scrap_time", "p", F.explode("p.skus").alias("sku"))
     p, sku, seller = F.col("p"), F.col("sku"), F.col("p.seller")

@@ -61,7 +61,7 @@ def _follow_key(
         if place in places:
             continue
         places.append(place)
-        started, renewed = started or visit.ts, visit.ts
+        started, renewed = started or visit.ts, max(renewed or visit.ts, visit.ts)
         if not flagged and shared(places):
             flagged = True
             addresses, browsers = ({p[i] for p in places} for i in (0, 1))
@@ -76,13 +76,14 @@ def _follow_key(
 
 
 def once_per_second(visits: DataFrame) -> DataFrame:
-    """Visits of a batch with repeats from one place within a second removed.
+    """First visits from each place within a second, with their exact times.
 
-    This combines before the shuffle and bounds what one busy key can bring to
-    the task that holds its state.
+    Later ones of the same second find a place that is known already and
+    change nothing. This combines before the shuffle and bounds what one busy
+    key can bring to the task that holds its state.
     """
-    second = F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts")
-    return visits.select("api_key", "ip", "browser", second).distinct()
+    second = F.date_trunc("second", "ts").alias("second")
+    return visits.groupBy("api_key", "ip", "browser", second).agg(F.min("ts").alias("ts")).drop("second")
 
 
 def stream_alarms(visits: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallymart.operators.running import running_sums
+from tallymart.sources.stores import stage
 from tallymart.streaming.tables import replace_batch
 
 # Days one payment unit buys, and days of a demo.
@@ -43,6 +44,11 @@ EVENT = (
     "subscription_type int, multiply int"
 )
 CARRIED_FROM = dt.datetime(1, 1, 1)  # before any event
+STATE = (
+    "payment_id bigint, status string, user_id bigint, subscription_type int, "
+    "multiply int, batch_id int"
+)
+ORPHANS = f"{EVENT}, batch_id int"
 
 
 def granted_days(multiply: Column) -> Column:
@@ -219,21 +225,33 @@ def stream_payments(
 
     A batch starts from the states earlier batches left, so a repeated batch
     reads the same states and replaces its own rows. Everything is a join and a
-    window over the payments of the batch, however many they are.
+    window over the payments of the batch, however many they are. Statuses of
+    unknown payments wait in a table beside the states, by batch, and are told
+    again with their payment's creation, as if they had come in order; successes
+    that stay there are the quarantine.
     """
 
+    waiting_path = f"{states_path}-waiting"
+
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         known = batch.select(*EVENT_FIELDS)
         if number > 0:
-            states = spark.read.parquet(states_path)
-            known = known.unionByName(carried(states, number, known))
-        chained = sequenced(known).persist()
-        try:
-            replace_batch(_grants(chained), number, grants_path)
-            replace_batch(payment_states(chained), number, states_path)
-        finally:
-            chained.unpersist()
+            waiting = spark.read.schema(ORPHANS).parquet(waiting_path)
+            created = known.where(F.col("kind") != "status").select("payment_id").distinct()
+            late = (
+                waiting.where(F.col("batch_id") < number)
+                .join(created, "payment_id", "left_semi")
+                .select(*EVENT_FIELDS)
+            )
+            states = spark.read.schema(STATE).parquet(states_path)
+            known = known.unionByName(late).unionByName(carried(states, number, known))
+        # Written once: the tables that it reads change below.
+        chained = stage(sequenced(known), "payments")
+        replace_batch(_grants(chained), number, grants_path)
+        replace_batch(payment_states(chained), number, states_path)
+        orphaned = chained.where(F.col("orphan") & (F.col("kind") == "status"))
+        replace_batch(orphaned.select(*EVENT_FIELDS), number, waiting_path)
 
     return (
         events.writeStream.foreachBatch(handle)

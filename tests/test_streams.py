@@ -4,12 +4,15 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from conftest import at
 from pyspark.sql import functions as F
 
 from tallymart import schemas
+from tallymart.operators.hierarchy import closure
 from tallymart.plans import rollup
 from tallymart.sources import upserts
+from tallymart.sources.stores import latest
 from tallymart.streaming import envelopes as env
 from tallymart.streaming import key_sharing, subscriptions, tables
 from test_properties import by_row, payment_log, random_snapshots, simulate
@@ -257,3 +260,49 @@ def test_key_sharing_stream(spark, tmp_path):
     assert want and got == want
     doubled = parts[0].union(parts[0])
     assert key_sharing.once_per_second(doubled).count() == 300
+
+
+def test_faulty_products_go_to_quarantine(spark):
+    good = '{"product_id": 1, "skus": [{"sku_id": 2, "purchase_price": "1.50", "full_price": ""}]}'
+    payloads = {
+        "good": good,
+        "price": good.replace("1.50", "abc"),
+        "shape": '{"product_id": 1, "skus": "none"}',
+        "missing": '{"product_id": 1}',
+        "id": '{"product_id": ',
+    }
+    rows = [(name, dt.datetime(2024, 1, 1), "product", text) for name, text in payloads.items()]
+    frame = spark.createDataFrame(rows, schemas.ENVELOPE)
+    reasons = {row["event_id"]: row["reason"] for row in env.routed(frame).collect()}
+    assert reasons == {
+        "good": None, "price": "bad_price", "shape": "bad_shape", "missing": "bad_shape", "id": "no_id",
+    }
+    assert [row["purchase_price"] for row in env.product_rows(frame).collect()] == [150]
+
+
+def test_late_creation_brings_its_grant(spark, tmp_path):
+    events = [
+        (1, None, "status", dt.datetime(2024, 1, 2), "success", None, None),
+        (1, 9, "created", dt.datetime(2024, 1, 1), "pending", 1, 1),
+    ]
+    grants = str(tmp_path / "grants")
+
+    def start(stream, path, checkpoint):
+        return subscriptions.stream_payments(stream, path, grants, checkpoint)
+
+    parts = [spark.createDataFrame([event], subscriptions.EVENT) for event in events]
+    drained(spark, parts, subscriptions.EVENT, start, tmp_path)
+    rows = spark.read.parquet(grants).collect()
+    assert [(row["user_id"], row["days"]) for row in rows] == [(9, 30)]
+
+
+def test_cycle_in_the_tree_is_refused(spark):
+    edges = spark.createDataFrame([(1, 2, "a"), (2, 1, "b"), (3, 0, "c")], schemas.CATEGORY_EDGE)
+    with pytest.raises(ValueError, match="cycle"):
+        closure(edges)
+
+
+def test_latest_of_each_period(spark):
+    rows = [(7, dt.date(2024, 1, 31), 1), (14, dt.date(2024, 1, 30), 2), (14, dt.date(2024, 1, 29), 3)]
+    table = spark.createDataFrame(rows, "period int, snapshot_date date, value int")
+    assert {row["value"] for row in latest(table).collect()} == {1, 2}

@@ -844,3 +844,15 @@ FROM plans WHERE subscription_type IS NULL AND user_id NOT IN (SELECT user_id FR
 ORACLES["payment_stream_late"] = ORACLES["stream_subscriptions"]
 ORACLES["quarantine_events"] = """SELECT CASE event_id % 97 WHEN 1 THEN 'no_id' WHEN 2 THEN 'bad_price' ELSE 'bad_shape' END AS reason,
 cast(ts AS date) AS date, count(*) AS events FROM events WHERE event_id % 97 IN (1, 2, 3) GROUP BY ALL"""
+ORACLES["retention_raw"] = query(
+    "snap",
+    """SELECT product_id, count(*) AS kept_rows FROM snap
+WHERE timestamp + INTERVAL 4 MONTH > TIMESTAMP '2024-05-20' GROUP BY product_id""",
+)
+ORACLES["retention_snapshots"] = query(
+    "pos",
+    """SELECT cast(cast(timestamp AS date) AS timestamp) AS snapshot_date, count(*) AS kept_rows FROM pos
+WHERE cast(timestamp AS date) + INTERVAL 3 DAY > TIMESTAMP '2024-01-31' GROUP BY 1""",
+)
+ORACLES["report_export"] = f"""SELECT seller_link, product_id, days_in_stock, order_amount, revenue, abc_orders, abc_revenue
+FROM ({ORACLES["abc_report"]})"""

@@ -172,17 +172,23 @@ def seller_shops(spark, folder):
 
 
 def abc_report(spark, folder):
-    sales = seller.seller_sales_report(sample.stored_market(spark, folder), START, AS_OF)
+    sales = seller.seller_sales_report(
+        sample.stored_market(spark, folder), START, AS_OF, total=False
+    )
     return report.abc_report(sales, ["seller_link"])
 
 
 def abc_report_category(spark, folder):
-    sales = category.category_sales_report(sample.stored_market(spark, folder), START, AS_OF)
+    sales = category.category_sales_report(
+        sample.stored_market(spark, folder), START, AS_OF, total=False
+    )
     return report.abc_report(sales, ["category_id"])
 
 
 def stock_days(spark, folder):
-    sales = seller.seller_sales_report(sample.stored_market(spark, folder), START, AS_OF)
+    sales = seller.seller_sales_report(
+        sample.stored_market(spark, folder), START, AS_OF, total=False
+    )
     return sales.select(
         "seller_link",
         "product_id",
@@ -263,6 +269,35 @@ def latest_per_period(spark, folder):
 RETAINED_AT = dt.date(2024, 2, 15)
 
 
+def retention_raw(spark, folder):
+    """Raw snapshots that four months of keeping leave on a later day."""
+    raw = sample.stored_market(spark, folder).products
+    kept = stores.retain(raw, stores.KEEP_RAW, dt.date(2024, 5, 20))
+    return kept.groupBy("product_id").agg(F.count(F.lit(1)).alias("kept_rows"))
+
+
+def retention_snapshots(spark, folder):
+    """Snapshots of the last three days, by the day they are of."""
+    days = sample.product_position(spark, folder).withColumn(
+        "snapshot_date", F.to_date("timestamp").cast("timestamp_ntz")
+    )
+    kept = stores.retain(days, stores.KEEP_SNAPSHOTS, AS_OF, "snapshot_date")
+    return kept.groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("kept_rows"))
+
+
+def report_export(spark, folder):
+    """The ABC report written as CSV and read back."""
+    path = fresh_folder(spark, "export")
+    table = abc_report(spark, folder)
+    report.export_report(table, path, ["seller_link"])
+    read = spark.read.option("header", True).csv(path)
+    casts = [F.col(f.name).cast(f.dataType) for f in table.schema if f.name in PLAIN]
+    return read.select(*casts)
+
+
+PLAIN = ["seller_link", "product_id", "days_in_stock", "order_amount", "revenue", "abc_orders", "abc_revenue"]
+
+
 def retention(spark, folder):
     positions = sample.product_position(spark, folder)
     return stores.retain(positions, stores.KEEP_POSITIONS, RETAINED_AT)
@@ -531,6 +566,9 @@ QUERIES: dict[str, Query] = {
     "latest_snapshot": latest_snapshot,
     "latest_per_period": latest_per_period,
     "retention": retention,
+    "retention_raw": retention_raw,
+    "retention_snapshots": retention_snapshots,
+    "report_export": report_export,
     "upsert_categories": upsert_categories,
     "upsert_sellers": upsert_sellers,
     "payments_dedup": payments_dedup,

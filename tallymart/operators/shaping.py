@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymart.sources.stores import stage
+
 
 @dataclass(frozen=True)
 class Equals:
@@ -103,3 +105,14 @@ def with_total(table: DataFrame, keys: Sequence[str] = (), out: str = "total") -
         return table.crossJoin(F.broadcast(table.agg(F.count(F.lit(1)).alias(out))))
     totals = table.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
     return table.join(totals, list(keys))
+
+
+def staged_with_total(
+    table: DataFrame, keys: Sequence[str], out: str = "total"
+) -> DataFrame:
+    """``with_total`` of a dear table, which is written once and then counted.
+
+    Counting reads only the keys of what was written, so nothing that the table
+    is made of is scanned or merged twice.
+    """
+    return with_total(stage(table, "counted"), keys, out)

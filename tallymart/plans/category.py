@@ -20,7 +20,7 @@ from tallymart.marketplace import Marketplace
 from tallymart.operators.counters import with_orders
 from tallymart.operators.gaps import fill_array
 from tallymart.operators.hierarchy import hierarchy
-from tallymart.operators.shaping import SortBy, dynamic_filter, page, sort_columns, with_total
+from tallymart.operators.shaping import SortBy, dynamic_filter, page, sort_columns, staged_with_total
 from tallymart.operators.spread import grouped_median
 from tallymart.plans.rollup import merge_product_days, product_days, with_median
 from tallymart.plans.sales import product_sales
@@ -426,7 +426,8 @@ def category_products_analytics(
         "photo_key",
         F.round("rating", 1).alias("rating"),
     )
-    counted = with_total(dynamic_filter(rows, filters), ["category_id"], "total_row_count")
+    kept = dynamic_filter(rows, filters)
+    counted = staged_with_total(kept, ["category_id"], "total_row_count")
     if limit is not None or sort or offset:
         counted = page(counted, sort, ["category_id", "product_id"], limit, offset)
     shown = None
@@ -530,12 +531,15 @@ def category_sales_report(
     roots: Sequence[int] | None = None,
     limit: int | None = None,
     offset: int = 0,
+    total: bool = True,
 ) -> DataFrame:
-    """Sales report of the products of each category."""
+    """Sales report of the products of each category, with their number if asked."""
     attributes = ["purchase_price", "title", "seller_title"]
     days = category_days(market, start, end, attributes, roots)
     spread = to_roots(market, product_sales(market, days, SCOPE), roots)
-    report = with_total(spread.withColumnRenamed("root_id", "category_id"), ["category_id"])
+    report = spread.withColumnRenamed("root_id", "category_id")
+    if total:
+        report = staged_with_total(report, ["category_id"])
     if limit is None and not offset:
         return report
     return page(report, (), ["category_id", "product_id"], limit, offset)

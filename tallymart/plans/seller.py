@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallymart.functions.numbers import ratio
 from tallymart.marketplace import Marketplace
 from tallymart.operators.counters import with_orders
-from tallymart.operators.shaping import page, with_total
+from tallymart.operators.shaping import page, staged_with_total, with_total
 from tallymart.plans.rollup import product_days, with_median
 from tallymart.plans.sales import product_sales
 
@@ -77,10 +77,13 @@ def seller_sales_report(
     links: Sequence[str] | None = None,
     limit: int | None = None,
     offset: int = 0,
+    total: bool = True,
 ) -> DataFrame:
-    """Sales report of the products of each seller."""
+    """Sales report of the products of each seller, with their number if asked."""
     days = seller_days(market, start, end, ["purchase_price", "title", "seller_title"], links)
-    report = with_total(product_sales(market, days, SCOPE), SCOPE)
+    report = product_sales(market, days, SCOPE)
+    if total:
+        report = staged_with_total(report, SCOPE)
     if limit is None and not offset:
         return report
     return page(report, (), [*SCOPE, "product_id"], limit, offset)

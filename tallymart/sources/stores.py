@@ -92,11 +92,15 @@ def latest(
 def write_snapshot(table: DataFrame, path: str) -> None:
     """Replace exactly the (period, snapshot_date, root_id) partitions in ``table``.
 
-    Running a snapshot again therefore leaves one copy of it.
+    Running a snapshot again therefore leaves one copy of it. Rows of a partition
+    are brought together first, and large partitions split again by adaptive
+    execution, so their files are few and of a fair size.
     """
+    keys = ("period", "snapshot_date", "root_id")
     (
-        table.write.mode("overwrite")
+        table.hint("rebalance", *keys)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("period", "snapshot_date", "root_id")
+        .partitionBy(*keys)
         .parquet(path)
     )

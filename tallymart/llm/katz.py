@@ -29,7 +29,7 @@ VOCABULARY = 1 << 20
 TRUSTED = 5
 BUCKET_TOKENS = 4_000_000
 SPLIT_TOKENS = 1_000_000
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 BITS = 21
 DOC_BITS = 22
 BLOCKS = "bucket long, docs binary, held binary, tokens binary, times binary"
@@ -89,7 +89,7 @@ def unigrams(batches):
             times = np.bincount(tokens.codes[~tokens.held[tokens.owner]], minlength=len(tokens.hashes))
             used = times > 0
             keys, counts = tallied(np.concatenate((keys, tokens.hashes[used])), np.concatenate((counts, times[used])))
-            if len(keys) > 2_000_000:
+            if len(keys) > 1_000_000:
                 yield out()
                 keys, counts = keys[:0], counts[:0]
     yield out()

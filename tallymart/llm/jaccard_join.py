@@ -32,8 +32,8 @@ SHINGLE = 5
 BASE = 0xBF58476D1CE4E5B9
 PERCENT = 75
 ORDERS = (0x2545F4914F6CDD1D, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
-#: Cells of the table of token counts: 2 MB at every executor, whatever the input.
-COUNT_CELLS = 1 << 21
+#: Cells of the table of token counts: 8 MB at every executor, whatever the input.
+COUNT_CELLS = 1 << 23
 COUNT_SLICE = 1 << 16
 #: Pairs of one document that are compared in one task at a time.
 GROUP_PAIRS = 256
@@ -86,7 +86,8 @@ def counted(width: int):
         for batch in batches:
             for part in words.row_slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), width)
-                total += np.bincount(count_cells(np.concatenate(sets)), minlength=COUNT_CELLS).astype(np.uint32)
+                found, times = np.unique(count_cells(np.concatenate(sets)), return_counts=True)
+                total[found] += times.astype(np.uint32)
         rows = [
             (at, zlib.compress(total[at * COUNT_SLICE : (at + 1) * COUNT_SLICE].tobytes(), 1))
             for at in range(COUNT_CELLS // COUNT_SLICE)
@@ -122,13 +123,12 @@ def frequency_classes(texts: DataFrame, width: int) -> np.ndarray:
         .mapInArrow(added, "slice int, counts binary")
         .collect()
     )
-    counts = np.zeros(COUNT_CELLS)
+    counts = np.zeros((COUNT_CELLS // COUNT_SLICE, COUNT_SLICE), np.uint32)
     for row in rows:
-        at = row["slice"] * COUNT_SLICE
-        counts[at : at + COUNT_SLICE] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
-    usual = counts.mean()
-    surplus = np.maximum(counts - usual - 6 * np.sqrt(usual) - 4, 0)
-    return np.ceil(2 * np.log2(1 + surplus)).astype(np.uint8)
+        counts[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
+    usual = counts.sum(dtype=float) / COUNT_CELLS
+    often = usual + 6 * np.sqrt(usual) + 4
+    return np.concatenate([np.ceil(2 * np.log2(1 + np.maximum(part - often, 0))).astype(np.uint8) for part in counts])
 
 
 def ordered(tokens: np.ndarray, order: int, classes: np.ndarray | None = None) -> np.ndarray:
@@ -187,8 +187,15 @@ def repeated_tokens(repeated):
             tokens = lists.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             maybe = repeated.value.maybe(tokens.view(np.uint64))
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            place = words.ranges(np.ones(len(counts), np.int64), counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[maybe]), batch.column("doc_id").take(pa.array(row[maybe]))], ["token", "doc_id"]
+                [
+                    pa.array(tokens[maybe]),
+                    batch.column("doc_id").take(pa.array(row[maybe])),
+                    pa.array(place[maybe].astype(np.int32)),
+                ],
+                ["token", "doc_id", "place"],
             )
 
     return run
@@ -301,9 +308,14 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("doc_id", "component")
 
 
+def needed_overlap(a: Column, b: Column) -> Column:
+    """``least_overlap`` on columns."""
+    return F.floor((PERCENT * (a + b) + 99 + PERCENT) / (100 + PERCENT))
+
+
 def enough_shared(count: Column, a: Column, b: Column) -> Column:
     """``least_shared`` on columns, whose division is not whole."""
-    overlap = F.floor((PERCENT * (a + b) + 99 + PERCENT) / (100 + PERCENT))
+    overlap = needed_overlap(a, b)
     slack = lambda n: F.lit(1) - F.floor((PERCENT * n + 99) / 100)
     return count >= F.least(slack(a), slack(b)) + overlap
 
@@ -333,7 +345,7 @@ def join(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     repeated = spark.sparkContext.broadcast(
         sketches.merged(prefixes.mapInArrow(sketched("prefix", cells), sketches.SLICES), cells)
     )
-    tokens = prefixes.mapInArrow(repeated_tokens(repeated), "token long, doc_id long")
+    tokens = prefixes.mapInArrow(repeated_tokens(repeated), "token long, doc_id long, place int")
     entries = tokens.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"))
     index_at = fresh_folder(spark, "index")
     (
@@ -364,18 +376,21 @@ def join(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     grouped = grouped.join(mixed.filter("low < high").select("token"), "token")
     hits = grouped.groupBy("doc_id").agg(F.count("*").alias("hits"))
     sides_at = fresh_folder(spark, "sides")
-    grouped.join(hits, "doc_id").select("token", "doc_id", "component", "n", "n_max", "hits").write.parquet(sides_at)
+    grouped.join(hits, "doc_id").select("token", "doc_id", "component", "n", "n_max", "hits", "place").write.parquet(sides_at)
     sides = spark.read.parquet(sides_at)
     left, right = (sides.select("token", *[F.col(x).alias(f"{side}_{x}") for x in sides.columns[1:]]) for side in "ab")
+    # After the first token that two sets share, each must have enough of them left.
+    overlap = needed_overlap(F.col("a_n"), F.col("b_n"))
+    early = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) + 1 >= overlap
+    # Ids with several sets are compared without such filters.
+    several = (F.col("a_n") < F.col("a_n_max")) | (F.col("b_n") < F.col("b_n_max"))
     crossing = (
         left.join(right, "token")
         .filter("a_doc_id < b_doc_id AND a_component <> b_component")
         .filter(f"100 * a_n_max >= {PERCENT} * b_n AND 100 * b_n_max >= {PERCENT} * a_n")
-        .filter(enough_shared(F.least("a_hits", "b_hits"), F.col("a_n"), F.col("b_n")) | (F.col("a_n") < F.col("a_n_max")) | (F.col("b_n") < F.col("b_n_max")))
-        .groupBy("a_doc_id", "b_doc_id", "a_n", "b_n", "a_n_max", "b_n_max")
-        .agg(F.count("*").alias("shared"))
-        .filter(enough_shared(F.col("shared"), F.col("a_n"), F.col("b_n")) | (F.col("a_n") < F.col("a_n_max")) | (F.col("b_n") < F.col("b_n_max")))
+        .filter(several | (enough_shared(F.least("a_hits", "b_hits"), F.col("a_n"), F.col("b_n")) & early))
         .select(F.col("a_doc_id").alias("hub"), F.col("b_doc_id").alias("doc_id"))
+        .distinct()
     )
     more = verified(crossing, texts, reps, width)
     found = components(links.union(copies).union(more))

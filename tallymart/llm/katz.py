@@ -27,14 +27,16 @@ from tallymart.session import fresh_folder
 VOCABULARY = 1 << 20
 #: Counts above this are believed as they are.
 TRUSTED = 5
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 2_000_000
+#: Tokens of a bucket that are scored at a time.
+PART_TOKENS = 1 << 19
 SPLIT_TOKENS = 1_000_000
 SLICE_BYTES = 4 << 20
 BITS = 21
 DOC_BITS = 22
 BLOCKS = "bucket long, docs binary, held binary, tokens binary, times binary"
 COUNTED = (
-    "bucket long, docs binary, held binary, tokens binary, times binary, pairs binary, counts binary, seen array<long>"
+    "bucket long, docs binary, owner binary, tokens binary, times binary, pairs binary, counts binary, seen array<long>"
 )
 
 
@@ -238,7 +240,7 @@ def count_bucket(key, rows):
             key[0], packed(np.concatenate(docs)), packed(owner.astype(np.uint64)), packed(pair), packed(times_all),
             packed(pairs), packed(counts.astype(np.uint64)), kinds_seen(counts),
         )],
-        columns=["bucket", "docs", "held", "tokens", "times", "pairs", "counts", "seen"],
+        columns=["bucket", "docs", "owner", "tokens", "times", "pairs", "counts", "seen"],
     )
 
 
@@ -276,19 +278,23 @@ def bucket_scores(kept: np.ndarray, shared, chances, weights):
 
     def run(batches):
         vocabulary, chance, weight = shared.value, chances.value, weights.value
-        names = ("docs", "held", "tokens", "times", "pairs", "counts")
+        names = ("docs", "owner", "tokens", "times", "pairs", "counts")
         for batch in batches:
             for row in zip(*(batch.column(name).to_pylist() for name in names)):
-                docs, owner, pair, times, pairs, counts = map(unpacked, row)
+                docs, pair, pairs, counts = (unpacked(row[at]) for at in (0, 2, 4, 5))
+                owner, times = unpacked(row[1]).astype(np.int32), unpacked(row[3]).astype(np.float32)
                 counts = counts.astype(np.int64)
-                history, word = (pair >> np.uint64(BITS)).astype(np.int64), (pair & np.uint64((1 << BITS) - 1)).astype(np.int64)
-                value = weight[history] * chance[word]
-                if len(pairs):
-                    at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
-                    seen = pairs[at] == pair
-                    own = kept_counts(counts[at[seen]], kept) / vocabulary.before[history[seen]]
-                    value[seen] = own
-                total = np.bincount(owner.astype(np.int64), np.log10(value) * times, len(docs))
+                total = np.zeros(len(docs))
+                for start in range(0, len(pair), PART_TOKENS):
+                    part = slice(start, start + PART_TOKENS)
+                    some = pair[part]
+                    history, word = (some >> np.uint64(BITS)).astype(np.int64), (some & np.uint64((1 << BITS) - 1)).astype(np.int64)
+                    value = weight[history] * chance[word]
+                    if len(pairs):
+                        at = np.minimum(np.searchsorted(pairs, some), len(pairs) - 1)
+                        seen = pairs[at] == some
+                        value[seen] = kept_counts(counts[at[seen]], kept) / vocabulary.before[history[seen]]
+                    total += np.bincount(owner[part], np.log10(value) * times[part], len(docs))
                 yield pa.RecordBatch.from_arrays([pa.array(docs.view(np.int64)), pa.array(total)], ["row_id", "part"])
 
     return run

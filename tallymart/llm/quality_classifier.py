@@ -9,6 +9,8 @@ words is trained; the scorer judges every document.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,7 +24,9 @@ BUCKETS = 1 << 18
 #: likely to be drawn as all others together, so rare faults are seen often.
 SAMPLE_DOCS = 16000
 ROUNDS = 60
-EPOCHS = 4
+#: Passes over the sample: at least the first, and so many that this many
+#: documents are seen in all, but no more than the last.
+EPOCHS, SEEN_DOCS, MOST_EPOCHS = 4, 30_000, 100
 RATE = 0.1
 SPARSE = 1.0
 SEED = 11
@@ -39,6 +43,7 @@ OPENINGS = 3000
 OPENING_SIZES = (4, 5, 6, 7)
 OPENING_DOCS = 8
 OPENING_SHARE = 0.95
+CHANCE = 1e-7
 LABELLERS = (
     "symbols", "symbol_words", "capitals", "shouts", "stutter", "few_kinds", "columns",
     "insult", "insults", "prose", "clean",
@@ -57,8 +62,8 @@ def openings(word: bytes) -> list[bytes]:
     return [word[:size] + b"~" for size in OPENING_SIZES if len(word) > size]
 
 
-def word_table(distinct: pa.Array, insults: frozenset[bytes]) -> dict[str, np.ndarray]:
-    """What is asked of each distinct word."""
+def word_table(distinct: pa.Array, insults: frozenset[bytes], hashed_too: bool) -> dict[str, np.ndarray]:
+    """What is asked of each distinct word; hashes only where they are used."""
     plain = words.listed(distinct)
     flat, bounds = words.buffers(distinct)
 
@@ -70,15 +75,19 @@ def word_table(distinct: pa.Array, insults: frozenset[bytes]) -> dict[str, np.nd
     marks = count(np.isin(flat, np.frombuffer(MARKS[:-1], np.uint8)))
     bangs = count(flat == ord("!"))
     bare = [*map(stripped, plain)]
-    shape = [
-        b"%d%d%d" % (u > 1 and u > low, m > 0, b > 1) for u, low, m, b in zip(upper, lower, marks, bangs)
-    ]
     hashed = lambda kind, value: xxhash.xxh3_64_intdigest(kind + value) % BUCKETS
-    return {
+    table = {
         "marks": marks, "marked": marks > 0, "capital": (upper > 1) & (upper > lower), "shout": bangs > 1,
         "column": np.array([word == b"|" for word in plain], bool),
         "insult": np.array([word in insults or any(x in insults for x in openings(word)) for word in bare], bool),
         "stop": np.array([word[-1:] in (b".", b",") for word in plain], bool),
+    }
+    if not hashed_too:
+        return table
+    shape = [
+        b"%d%d%d" % (u > 1 and u > low, m > 0, b > 1) for u, low, m, b in zip(upper, lower, marks, bangs)
+    ]
+    return table | {
         "word_id": np.array([hashed(b"w", word) for word in bare], np.int64),
         **{
             f"open{size}_id": np.array([hashed(b"o", word[:size]) if len(word) > size else -1 for word in bare], np.int64)
@@ -92,22 +101,25 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(values)))[bounds])
 
 
-def looked_at(texts: pa.Array, insults: frozenset[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Votes of all labellers, and the hashed features, of each text."""
+def looked_at(texts: pa.Array, insults: frozenset[bytes], hashed_too: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Votes of all labellers, and the hashed features if asked, of each text."""
     cut, bounds = words.cut_words(texts)
     codes, distinct = words.encoded(cut)
-    table = word_table(distinct, insults)
+    table = word_table(distinct, insults, hashed_too)
     total = np.maximum(np.diff(bounds), 1)
     share = {name: per_text(table[name][codes], bounds) / total for name in ("marks", "marked", "capital", "shout", "column", "insult", "stop")}
     again = np.concatenate(([False], codes[1:] == codes[:-1])) if len(codes) else np.zeros(0, bool)
     again[bounds[:-1][bounds[1:] > bounds[:-1]]] = False
     stutter = per_text(again, bounds) / total
-    features, kinds = [], np.zeros(len(total))
+    owner = np.repeat(np.arange(len(total)), np.diff(bounds))
+    pairs = np.unique((owner << 32) | codes)
+    kinds = np.bincount(pairs >> 32, minlength=len(total)) / total
+    found_at = np.searchsorted(pairs >> 32, np.arange(len(total) + 1))
+    features: list[np.ndarray] = []
     again_id = xxhash.xxh3_64_intdigest(b"again") % BUCKETS
     some_shape = {}
-    for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        found = np.unique(codes[a:b])
-        kinds[row] = len(found) / total[row]
+    for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]) if hashed_too else ()):
+        found = pairs[found_at[row] : found_at[row + 1]] & 0xFFFFFFFF
         ids = np.concatenate((table["word_id"][found], *(table[f"open{size}_id"][found] for size in OPENING_SIZES[:2])))
         ids = ids[ids >= 0]
         # A shape counts as a feature once, and once more where it is common.
@@ -188,7 +200,8 @@ def train(features: list[np.ndarray], targets: np.ndarray, seed: int = SEED) ->
         pull = pulled[at]
         return -np.sign(pull) * np.maximum(np.abs(pull) - held[at], 0) / ((1 + np.sqrt(squares[at])) / RATE)
 
-    for _ in range(EPOCHS):
+    epochs = min(max(EPOCHS, SEEN_DOCS // max(len(features), 1)), MOST_EPOCHS)
+    for _ in range(epochs):
         for row in random.permutation(len(features)):
             at = np.append(features[row], BUCKETS)
             weight = weights(at)
@@ -203,7 +216,7 @@ def votes_of(insults: frozenset[bytes]):
     def run(batches):
         for batch in batches:
             for part in words.row_slices(batch, "text"):
-                votes, _ = looked_at(part.column("text"), insults)
+                votes, _ = looked_at(part.column("text"), insults, False)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(["".join(map(str, row)) for row in votes.tolist()], pa.string())], ["votes"]
                 )
@@ -217,15 +230,18 @@ def sample_of(insults: frozenset[bytes], share: float, share_bad: float):
     def run(batches):
         for batch in batches:
             for part in words.row_slices(batch, "text"):
-                votes, features = looked_at(part.column("text"), insults)
+                votes, _ = looked_at(part.column("text"), insults, False)
                 draw = [xxhash.xxh3_64_intdigest(text or "") / 2**64 for text in part.column("text").to_pylist()]
                 keep = [
                     row for row, at in enumerate(draw) if at < (share_bad if (votes[row] == BAD).any() else share)
                 ]
+                if not keep:
+                    continue
+                _, features = looked_at(part.column("text").take(pa.array(keep)), insults)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(["".join(map(str, votes[row].tolist())) for row in keep], pa.string()),
-                        pa.array([features[row].astype("<i4").tobytes() for row in keep], pa.binary()),
+                        pa.array([one.astype("<i4").tobytes() for one in features], pa.binary()),
                         pa.array([draw[row] for row in keep], pa.float64()),
                     ],
                     ["votes", "features", "draw"],
@@ -283,6 +299,11 @@ def learn_insults(docs: DataFrame, labels: DataFrame, most: int = LABELLED_DOCS)
     draw = lambda kind: known.filter(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     drawn = draw("toxic <> 0").union(draw("toxic = 0"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    sizes = drawn.agg(F.count_if(F.expr("toxic <> 0")).alias("toxic"), F.count("*").alias("all")).first()
+    if not 0 < sizes["toxic"] < sizes["all"]:
+        return frozenset()
+    # So many documents that a word would hardly be in toxic ones alone by chance.
+    least = max(OPENING_DOCS, math.ceil(math.log(CHANCE) / math.log(sizes["toxic"] / sizes["all"])))
     # At most twice ``most`` pairs of numbers are broadcast.
     found = (
         texts.join(F.broadcast(drawn), "doc_id")
@@ -290,7 +311,7 @@ def learn_insults(docs: DataFrame, labels: DataFrame, most: int = LABELLED_DOCS)
         .mapInArrow(terms_of, "term binary, toxic long, clean long")
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter((F.col("toxic") >= OPENING_DOCS) & (F.col("toxic") >= OPENING_SHARE * (F.col("toxic") + F.col("clean"))))
+        .filter((F.col("toxic") >= least) & (F.col("toxic") >= OPENING_SHARE * (F.col("toxic") + F.col("clean"))))
         .orderBy(F.desc("toxic"), "term")
         .limit(OPENINGS)
         .collect()

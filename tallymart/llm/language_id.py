@@ -247,14 +247,14 @@ def fit(labelled: DataFrame, docs: int = SAMPLE_DOCS, most_words: int = SAMPLE_W
     The sample is drawn by a hash of the text among documents of at most
     ``most_words`` blanks; rows without text or language are left out.
     """
-    rows = (
+    known = (
         labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
         .filter(F.regexp_count("text", F.lit(" ")) < most_words)
         .select("text", "lang", F.xxhash64("text").alias("draw"))
-        .orderBy("draw", "lang")
-        .limit(docs)
-        .collect()
     )
+    # About twice the sample is drawn, so no task brings more than its share.
+    drawn = F.pmod("draw", F.lit(1 << 20)) <= int((1 << 20) * min(1.0, 2 * docs / max(known.count(), 1)))
+    rows = known.filter(drawn).orderBy("draw", "lang").limit(docs).collect()
     rows = [row for row in rows if has_letter(row["text"])]
     return train([row["text"] for row in rows], [row["lang"] for row in rows]) if rows else None
 

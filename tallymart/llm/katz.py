@@ -1,21 +1,24 @@
 """Katz backoff: a bigram model of words with Good-Turing discounts.
 
-The vocabulary is every training word whose count reaches a threshold, at most
-``VOCABULARY`` words; all other words, seen or not, are members of one rare
-class. A token's probability is that of its symbol (a word, the rare class or
-the end) after the symbol before it, times, in the rare class, the member's
-share by add-one counts. Symbols are looked up recursively: a bigram that was
-seen has its discounted share; otherwise the history's backoff weight multiplies
-the discounted unigram. Backoff weights are set so that each history's chances
-add up to exactly 1.
+Every training word has counts of its own; all words that training never saw are
+one class. Bigrams are looked up recursively: one that was seen has its
+discounted share; otherwise the history's backoff weight multiplies the
+discounted unigram. Backoff weights are set so that each history's chances add
+up to exactly 1.
 
 Counts live in tables: unigrams by word, bigrams by history, with heavy
 histories split. Bigrams of all documents travel to their partition in packed,
-sorted blocks, are counted there, and send back one sum per document.
+sorted blocks and are counted there. The most frequent words are numbered and
+known to every task; what a bucket needs of other words, it asks for by their
+hashes in rows that are joined with the tables. Which words are known changes
+how far a number travels, not its value.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from tallymart.llm import words
 from tallymart.session import fresh_folder
 
+#: Words that every task knows; all others are looked up in tables.
 VOCABULARY = 1 << 20
 #: Counts above this are believed as they are.
 TRUSTED = 5
@@ -32,11 +36,22 @@ BUCKET_TOKENS = 2_000_000
 PART_TOKENS = 1 << 19
 SPLIT_TOKENS = 1_000_000
 SLICE_BYTES = 4 << 20
-BITS = 21
-DOC_BITS = 22
-BLOCKS = "bucket long, docs binary, held binary, tokens binary, times binary"
+#: Bits of a symbol in counted pairs, and of symbols and documents in blocks.
+BITS = 32
+BLOCK_BITS = 22
+DOC_BITS = 20
+#: Tokens of a block at most, so that its own words and documents fit these bits.
+BLOCK_TOKENS = 1 << DOC_BITS
+BLOCKS = "bucket long, docs binary, held binary, tokens binary, times binary, words binary"
 COUNTED = (
-    "bucket long, docs binary, owner binary, tokens binary, times binary, pairs binary, counts binary, seen array<long>"
+    "bucket long, docs binary, owner binary, tokens binary, times binary, pairs binary, counts binary, words binary, "
+    "seen array<long>"
+)
+COUNTED_NAMES = [field.split()[0] for field in COUNTED.split(", ")]
+SUMS = "known boolean, history long, word long, seen double, lower double"
+LINES = (
+    "row_id long, word long, part double, base double, n_tokens long, n_known long, rows long, "
+    "times double, lower_times double, weight_times double"
 )
 
 
@@ -109,30 +124,46 @@ def blocks_of_words(batches):
 
 
 class Vocabulary:
-    """Words with symbols, their counts and the totals of all training tokens."""
+    """Numbered words with their counts, and the totals of all training tokens.
+
+    Symbols are these words, then the class of unseen words, the end and the
+    start; numbers from ``first`` on stand for the words of a list beside them.
+    """
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, docs: int, tokens: int, kinds: int) -> None:
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
-        self.rare, self.end, self.start = len(hashes), len(hashes) + 1, len(hashes) + 2
+        self.unseen, self.end, self.start, self.first = (len(hashes) + at for at in range(4))
         #: All training tokens and their distinct kinds, ends included.
         self.docs, self.tokens, self.kinds = docs, tokens + docs, kinds + (docs > 0)
-        self.rare_tokens, self.rare_kinds = tokens - int(counts.sum()), kinds - len(hashes)
-        self.before = np.concatenate((self.counts, [self.rare_tokens, 0, docs]))
+        self.before = np.concatenate((self.counts, [0, 0, docs]))
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words, -1 for words that are not numbered."""
         if not len(self.hashes):
-            return np.full(len(hashes), self.rare)
+            return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, self.rare)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def listed(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words, and the sorted list of those not numbered here."""
+        symbols = self.symbols(hashes)
+        other, at = np.unique(hashes[symbols < 0], return_inverse=True)
+        symbols[symbols < 0] = self.first + at
+        return symbols, other
 
     def base(self, counts):
         """The add-one log probability of a token seen so often."""
         return np.log10((counts + 1) / (self.tokens + self.kinds + 1))
 
-    def member(self, counts):
-        """The log probability of a rare word within its class."""
-        return np.log10((counts + 1) / (self.rare_tokens + self.rare_kinds + 1))
+
+def narrowed(symbols: np.ndarray, first: int, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols with the list of words cut down to those that occur; order stays."""
+    out = symbols >= first
+    used, at = np.unique(symbols[out], return_inverse=True)
+    symbols = symbols.copy()
+    symbols[out] = first + at
+    return symbols, other[used - first]
 
 
 def discounts(kinds: np.ndarray) -> np.ndarray:
@@ -158,21 +189,37 @@ def kinds_seen(counts: np.ndarray) -> np.ndarray:
     return np.bincount(counts[counts <= TRUSTED + 1].astype(np.int64), minlength=TRUSTED + 2)[1 : TRUSTED + 2]
 
 
-def unigram_chances(vocabulary: Vocabulary) -> np.ndarray:
-    """Chances of all symbols but the start; they add up to 1.
+class Chances:
+    """Discounted chances of words by count; with the unseen class they add up to 1.
 
-    What the discounts free goes to the rare class where training saw none of
-    it, and else to all symbols in proportion.
+    ``kinds`` holds all counts that occur, of words and the end, and how often
+    each does. The unseen class gets what the discounts free.
     """
-    counts = np.concatenate((vocabulary.counts, [vocabulary.rare_tokens, vocabulary.docs])).astype(np.int64)
-    total = max(int(counts.sum()), 1)
-    chance = kept_counts(counts, discounts(kinds_seen(counts))) / total
-    free = 1 - chance.sum()
-    if not counts.sum():
-        return np.full(len(counts), 1 / len(counts))
-    if counts[vocabulary.rare] == 0:
-        chance[vocabulary.rare] = max(free, 1 / (total + 1))
-    return chance / chance.sum()
+
+    def __init__(self, kinds: dict[int, int]) -> None:
+        counts, times = np.array(list(kinds), np.int64), np.array(list(kinds.values()), np.int64)
+        total = int((counts * times).sum())
+        self.kept = discounts(np.array([kinds.get(at, 0) for at in range(1, TRUSTED + 2)], float))
+        if not total:
+            self.scale, self.unseen, self.end = 0.0, 0.5, 0.5
+            return
+        mass = float((kept_counts(counts, self.kept) * times).sum()) / total
+        unseen = max(1 - mass, 1 / (total + 1))
+        self.scale, self.unseen, self.end = 1 / total / (mass + unseen), unseen / (mass + unseen), None
+
+    def of(self, counts: np.ndarray) -> np.ndarray:
+        return kept_counts(counts, self.kept) * self.scale
+
+    def column(self, count):
+        """The same as an expression; a null is the unseen class."""
+        low = F.element_at(F.array(*[F.lit(float(at * self.kept[at])) for at in range(1, TRUSTED + 1)]), count.cast("int"))
+        chance = F.when(count <= TRUSTED, low * self.scale).otherwise(count * F.lit(self.scale))
+        return F.when(count.isNull(), self.unseen).otherwise(chance)
+
+    def symbols(self, vocabulary: Vocabulary) -> np.ndarray:
+        """Chances of numbered words, the unseen class and the end."""
+        end = self.of(np.array([vocabulary.docs]))[0] if self.end is None else self.end
+        return np.concatenate((self.of(vocabulary.counts), [self.unseen, end]))
 
 
 def bigram_blocks(shared, buckets: int):
@@ -180,128 +227,244 @@ def bigram_blocks(shared, buckets: int):
 
     def run(batches):
         vocabulary: Vocabulary = shared.value
+        first, ones = vocabulary.first, np.uint64((1 << DOC_BITS) - 1)
         parts = np.maximum(1, vocabulary.before // SPLIT_TOKENS + 1).astype(np.uint64)
+        # What a symbol is dealt by must be the same in all blocks.
+        keys = np.concatenate((vocabulary.hashes, np.arange(1, 4, dtype=np.uint64)))
+
+        def blocks(history, line, doc, other, tokens, ids):
+            named = np.concatenate((keys, other))
+            split = words.mix(named[line]) % np.append(parts, np.uint64(1))[np.minimum(history, first)]
+            bucket = words.mix(named[history] + split) % np.uint64(buckets)
+            del named, split
+            both, other = narrowed(np.concatenate((history, line)), first, other)
+            history, line = both.astype(np.uint64).reshape(2, -1)
+            top = doc[0]
+            pair = (history << np.uint64(BLOCK_BITS + DOC_BITS)) | (line << np.uint64(DOC_BITS)) | (doc - top)
+            del both, history, line
+            order = np.lexsort((pair, bucket))
+            bucket, pair = bucket[order], pair[order]
+            del order
+            ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            for at in range(buckets):
+                found, times = np.unique(pair[ends[at] : ends[at + 1]], return_counts=True)
+                if len(found):
+                    used, local = np.unique(found & ones, return_inverse=True)
+                    both, own = narrowed(np.concatenate(block_pairs(found)), first, other)
+                    history, line = both.astype(np.uint64).reshape(2, -1)
+                    found = (history << np.uint64(BLOCK_BITS + DOC_BITS)) | (line << np.uint64(DOC_BITS)) | local.astype(np.uint64)
+                    used = (used + top).astype(np.int64)
+                    yield (
+                        at, packed(ids[used].view(np.uint64)), packed(tokens.held[used].astype(np.uint64)),
+                        packed(found), packed(times.astype(np.uint64)), packed(own),
+                    )
+
         for batch in batches:
             for part in words.row_slices(batch, "text", SLICE_BYTES):
                 tokens = Tokens(part)
-                symbols = vocabulary.symbols(tokens.hashes)[tokens.codes]
-                line = np.insert(symbols, tokens.bounds[1:], vocabulary.end).astype(np.uint64)
+                symbols, other = vocabulary.listed(tokens.hashes)
+                line = np.insert(symbols[tokens.codes], tokens.bounds[1:], vocabulary.end)
                 heads = tokens.bounds[:-1] + np.arange(len(tokens.sizes))
-                history = np.concatenate(([0], line[:-1])).astype(np.uint64)
+                history = np.concatenate(([0], line[:-1]))
                 history[heads] = vocabulary.start
                 doc = np.repeat(np.arange(len(tokens.sizes), dtype=np.uint64), tokens.sizes + 1)
-                split = words.mix(line) % parts[history]
-                bucket = words.mix(history * np.uint64(1 << 20) + split) % np.uint64(buckets)
-                pair = (history << np.uint64(BITS + DOC_BITS)) | (line << np.uint64(DOC_BITS)) | doc
-                order = np.lexsort((pair, bucket))
-                bucket, pair = bucket[order], pair[order]
-                ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
                 ids = part.column("doc_id").to_numpy().astype(np.int64)
-                out: list[tuple] = []
-                for at in range(buckets):
-                    found, times = np.unique(pair[ends[at] : ends[at + 1]], return_counts=True)
-                    if len(found):
-                        used, local = np.unique(found & np.uint64((1 << DOC_BITS) - 1), return_inverse=True)
-                        found = (found >> np.uint64(DOC_BITS) << np.uint64(DOC_BITS)) | local.astype(np.uint64)
-                        used = used.astype(np.int64)
-                        out.append(
-                            (at, packed(ids[used].view(np.uint64)), packed(tokens.held[used].astype(np.uint64)),
-                             packed(found), packed(times.astype(np.uint64)))
-                        )
-                kinds = (pa.int64(), *[pa.binary()] * 4)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row[x] for row in out], kind) for x, kind in enumerate(kinds)],
-                    ["bucket", "docs", "held", "tokens", "times"],
-                )
+                for start in range(0, len(line), BLOCK_TOKENS):
+                    some = slice(start, start + BLOCK_TOKENS)
+                    out = list(blocks(history[some], line[some], doc[some], other, tokens, ids))
+                    kinds = (pa.int64(), *[pa.binary()] * 5)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row[x] for row in out], kind) for x, kind in enumerate(kinds)],
+                        ["bucket", "docs", "held", "tokens", "times", "words"],
+                    )
+
+    return run
+
+
+def block_pairs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    history = found >> np.uint64(BLOCK_BITS + DOC_BITS)
+    return history.astype(np.int64), ((found >> np.uint64(DOC_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+
+
+def split_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+def count_bucket(first: int):
+    """All blocks of a bucket as one, with the training counts of its bigrams.
+
+    Numbers are put into their places block by block, so that a bucket is held
+    once; what is not needed any more goes before the next is packed.
+    """
+
+    def run(key, rows):
+        raw = {name: [x.as_buffer() for x in rows.column(name)] for name in ("docs", "held", "tokens", "times", "words")}
+        del rows
+        lists = [unpacked(x) for x in raw["words"]]
+        other = np.unique(np.concatenate(lists))
+        ends = np.cumsum([0, *[int(np.frombuffer(x[:8], np.uint64)[0]) for x in raw["tokens"]]])
+        owner, times = np.empty(ends[-1], np.uint32), np.empty(ends[-1], np.uint32)
+        pair, trained = np.empty(ends[-1], np.uint64), np.empty(ends[-1], bool)
+        docs, shift = [], 0
+        for at, own in enumerate(lists):
+            here = slice(ends[at], ends[at + 1])
+            ids, found = unpacked(raw["docs"][at]), unpacked(raw["tokens"][at])
+            doc = (found & np.uint64((1 << DOC_BITS) - 1)).astype(np.uint32)
+            trained[here] = unpacked(raw["held"][at])[doc] == 0
+            owner[here], times[here] = doc + np.uint32(shift), unpacked(raw["times"][at])
+            moved = first + np.searchsorted(other, own)
+            history, word = block_pairs(found)
+            for half in (history, word):
+                half[half >= first] = moved[half[half >= first] - first]
+            pair[here] = (history.astype(np.uint64) << np.uint64(BITS)) | word.astype(np.uint64)
+            docs.append(ids)
+            shift += len(ids)
+        del raw, lists
+        out = {"bucket": key[0].as_py(), "docs": packed(np.concatenate(docs)), "tokens": packed(pair), "words": packed(other)}
+        if not trained.all():
+            pair = pair[trained]
+        order = np.argsort(pair)
+        pair = pair[order]
+        heads = np.flatnonzero(np.concatenate((np.ones(min(len(pair), 1), bool), pair[1:] != pair[:-1])))
+        out["pairs"] = packed(pair[heads])
+        del pair
+        counts = np.add.reduceat(times[trained][order].astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
+        del order, heads, trained
+        out |= {"counts": packed(counts.astype(np.uint64)), "seen": kinds_seen(counts).tolist()}
+        del counts
+        out["owner"] = packed(owner.astype(np.uint64))
+        del owner
+        out["times"] = packed(times.astype(np.uint64))
+        kinds = [(name, pa.list_(pa.int64()) if name == "seen" else pa.int64() if name == "bucket" else pa.binary()) for name in COUNTED_NAMES]
+        return pa.table({name: pa.array([out[name]], kind) for name, kind in kinds})
 
     return run
 
 
-def count_bucket(key, rows):
-    """All blocks of a bucket as one, with the training counts of its bigrams."""
-    import pandas as pd
-
-    docs, held, tokens, times, shift = [], [], [], [], 0
-    for row in rows.itertuples():
-        ids, found = unpacked(row.docs), unpacked(row.tokens)
-        docs.append(ids)
-        held.append(unpacked(row.held))
-        times.append(unpacked(row.times))
-        tokens.append((found, shift))
-        shift += len(ids)
-    held_all = np.concatenate(held).astype(bool)
-    owner = np.concatenate([(found & np.uint64((1 << DOC_BITS) - 1)).astype(np.int64) + move for found, move in tokens])
-    pair = np.concatenate([found >> np.uint64(DOC_BITS) for found, _ in tokens])
-    times_all = np.concatenate(times)
-    trained = ~held_all[owner]
-    pairs, counts = tallied(pair[trained], times_all[trained].astype(np.int64))
-    return pd.DataFrame(
-        [(
-            key[0], packed(np.concatenate(docs)), packed(owner.astype(np.uint64)), packed(pair), packed(times_all),
-            packed(pairs), packed(counts.astype(np.uint64)), kinds_seen(counts),
-        )],
-        columns=["bucket", "docs", "owner", "tokens", "times", "pairs", "counts", "seen"],
-    )
+def counts_before(vocabulary: Vocabulary, other: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each symbol of a bucket is a history.
+
+    A history that is not numbered is never split, so its bucket holds it all.
+    """
+    history = (pairs >> np.uint64(BITS)).view(np.int64)
+    out = history >= vocabulary.first
+    return np.concatenate((vocabulary.before, np.bincount(history[out] - vocabulary.first, counts[out], len(other)).astype(np.int64)))
 
 
 def history_sums(kept: np.ndarray, shared, chances):
-    """Per history in a bucket: the seen bigrams' chances and unigram chances."""
+    """Per history in a bucket: the seen bigrams' chances and unigram chances.
+
+    Bigrams whose word is not numbered follow as rows with that word's hash.
+    """
 
     def run(batches):
         vocabulary, chance = shared.value, chances.value
+        first = vocabulary.first
         for batch in batches:
-            for raw_pairs, raw_counts in zip(batch.column("pairs").to_pylist(), batch.column("counts").to_pylist()):
-                pairs, counts = unpacked(raw_pairs), unpacked(raw_counts).astype(np.int64)
-                history, word = (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64((1 << BITS) - 1)).astype(np.int64)
+            for line in range(batch.num_rows):
+                pairs, counts, other = (unpacked(batch.column(name)[line].as_buffer()) for name in ("pairs", "counts", "words"))
+                counts = counts.astype(np.int64)
+                history, word = split_pairs(pairs)
+                before = counts_before(vocabulary, other, pairs, counts)
                 found, at = np.unique(history, return_inverse=True)
-                seen = kept_counts(counts, kept) / np.maximum(vocabulary.before[history], 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(found),
-                        pa.array(np.bincount(at, seen, len(found))),
-                        pa.array(np.bincount(at, chance[word], len(found))),
-                    ],
-                    ["history", "seen", "lower"],
-                )
+                out = word >= first
+                seen = kept_counts(counts, kept) / np.maximum(before[history], 1)
+                lower = np.where(out, 0, np.append(chance, 0)[np.minimum(word, len(chance))])
+                listed = other.view(np.int64)
+                name = np.where(found < first, found, np.append(listed, 0)[np.maximum(found - first, -1)])
+                for start in range(0, len(found), PART_TOKENS):
+                    some = slice(start, start + PART_TOKENS)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(found[some] < first), pa.array(name[some]), pa.nulls(len(found[some]), pa.int64()),
+                            pa.array(np.bincount(at, seen, len(found))[some]), pa.array(np.bincount(at, lower, len(found))[some]),
+                        ],
+                        ["known", "history", "word", "seen", "lower"],
+                    )
+                owner, asked = at[out], listed[word[out] - first]
+                for start in range(0, len(asked), PART_TOKENS):
+                    some = slice(start, start + PART_TOKENS)
+                    size = len(asked[some])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(found[owner[some]] < first), pa.array(name[owner[some]]), pa.array(asked[some]),
+                            pa.array(np.zeros(size)), pa.array(np.zeros(size)),
+                        ],
+                        ["known", "history", "word", "seen", "lower"],
+                    )
 
     return run
 
 
-def sums_block(batches):
+def weights_block(batches):
     for batch in batches:
-        raw = [batch.column(name).to_numpy().tobytes() for name in ("history", "seen", "lower")]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], ["history", "seen", "lower"])
+        raw = [batch.column(name).to_numpy().tobytes() for name in ("history", "weight")]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], ["history", "weight"])
+
+
+def lines(ids: pa.Array, **columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``LINES``; what is not given is 0, and the word null."""
+    out = [ids]
+    for field in LINES.split(", ")[1:]:
+        name, kind = field.split()
+        kind = pa.float64() if kind == "double" else pa.int64()
+        if name in columns:
+            out.append(pa.array(columns[name]).cast(kind))
+        else:
+            out.append(pa.nulls(len(ids), kind) if name == "word" else pa.array(np.zeros(len(ids))).cast(kind))
+    return pa.RecordBatch.from_arrays(out, [field.split()[0] for field in LINES.split(", ")])
 
 
 def bucket_scores(kept: np.ndarray, shared, chances, weights):
-    """Sums of log probabilities of a bucket's tokens by document."""
+    """Sums of log probabilities of a bucket's tokens by document.
+
+    Logarithms that hang on words not numbered follow as rows with their hashes.
+    """
 
     def run(batches):
         vocabulary, chance, weight = shared.value, chances.value, weights.value
-        names = ("docs", "owner", "tokens", "times", "pairs", "counts")
+        first = vocabulary.first
+        names = ("docs", "owner", "tokens", "times", "pairs", "counts", "words")
         for batch in batches:
-            for row in zip(*(batch.column(name).to_pylist() for name in names)):
-                docs, pair, pairs, counts = (unpacked(row[at]) for at in (0, 2, 4, 5))
+            for line in range(batch.num_rows):
+                row = [batch.column(name)[line].as_buffer() for name in names]
                 owner, times = unpacked(row[1]).astype(np.int32), unpacked(row[3]).astype(np.float32)
-                counts = counts.astype(np.int64)
+                docs, pair, pairs, counts, other = (unpacked(row[at]) for at in (0, 2, 4, 5, 6))
+                counts = counts.view(np.int64)
+                before = counts_before(vocabulary, other, pairs, counts)
+                ids, listed = docs.view(np.int64), other.view(np.int64)
                 total = np.zeros(len(docs))
                 for start in range(0, len(pair), PART_TOKENS):
                     part = slice(start, start + PART_TOKENS)
                     some = pair[part]
-                    history, word = (some >> np.uint64(BITS)).astype(np.int64), (some & np.uint64((1 << BITS) - 1)).astype(np.int64)
-                    value = weight[history] * chance[word]
+                    history, word = split_pairs(some)
+                    value, seen = np.zeros(len(some)), np.zeros(len(some), bool)
                     if len(pairs):
                         at = np.minimum(np.searchsorted(pairs, some), len(pairs) - 1)
                         seen = pairs[at] == some
-                        value[seen] = kept_counts(counts[at[seen]], kept) / vocabulary.before[history[seen]]
-                    total += np.bincount(owner[part], np.log10(value) * times[part], len(docs))
-                yield pa.RecordBatch.from_arrays([pa.array(docs.view(np.int64)), pa.array(total)], ["row_id", "part"])
+                        value[seen] = np.log10(kept_counts(counts[at[seen]], kept) / before[history[seen]])
+                    near, far = ~seen & (history < first), ~seen & (history >= first)
+                    value[near] += np.log10(weight[history[near]])
+                    plain, asked = ~seen & (word < first), ~seen & (word >= first)
+                    value[plain] += np.log10(chance[word[plain]])
+                    total += np.bincount(owner[part], value * times[part], len(docs))
+                    if far.any() or asked.any():
+                        key = owner[part].astype(np.int64) * len(other)
+                        keys = np.concatenate((key[far] + history[far] - first, key[asked] + word[asked] - first))
+                        found, at = np.unique(keys, return_inverse=True)
+                        cut = int(far.sum())
+                        yield lines(
+                            pa.array(ids[found // len(other)]), word=listed[found % len(other)],
+                            weight_times=np.bincount(at[:cut], times[part][far], len(found)),
+                            lower_times=np.bincount(at[cut:], times[part][asked], len(found)),
+                        )
+                yield lines(pa.array(ids), part=total)
 
     return run
 
 
-def rare_words(shared):
-    """One row per document, and one per rare word of a document."""
+def text_lines(shared):
+    """One row per document, and one per word of a document that is not numbered."""
 
     def run(batches):
         vocabulary: Vocabulary = shared.value
@@ -309,23 +472,37 @@ def rare_words(shared):
             for part in words.row_slices(batch, "text", SLICE_BYTES):
                 tokens = Tokens(part)
                 symbols = vocabulary.symbols(tokens.hashes)
-                rare = symbols == vocabulary.rare
-                counts = np.append(vocabulary.counts, 0)[np.where(rare, len(vocabulary.counts), symbols)]
-                known = np.concatenate(([0], np.cumsum(~rare[tokens.codes])))
-                base = np.concatenate(([0.0], np.cumsum(np.where(rare, 0, vocabulary.base(counts))[tokens.codes])))
-                ids = part.column("doc_id")
-                docs = part.num_rows
-                at = np.flatnonzero(rare[tokens.codes])
-                nothing = np.zeros(len(at))
-                columns = [
-                    pa.concat_arrays([ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, ids.take(pa.array(tokens.owner[at]))]),
-                    pa.array(np.concatenate((tokens.sizes + 1, nothing)).astype(np.int64)),
-                    pa.array(np.concatenate((np.diff(known[tokens.bounds]), nothing)).astype(np.int64)),
-                    pa.array(np.concatenate((np.diff(base[tokens.bounds]), nothing))),
-                    pa.array(np.concatenate((np.zeros(docs, np.uint64), tokens.hashes[tokens.codes[at]])).view(np.int64)),
-                    pa.array(np.concatenate((np.zeros(docs, bool), np.ones(len(at), bool)))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["row_id", "n_tokens", "n_known", "base", "word", "rare"])
+                far = symbols < 0
+                base = np.where(far, 0, vocabulary.base(np.append(vocabulary.counts, 0)[symbols]))
+                upto = lambda values: np.concatenate(([0], np.cumsum(values[tokens.codes])))[tokens.bounds]
+                ids = part.column("doc_id").to_numpy().astype(np.int64)
+                yield lines(
+                    pa.array(ids), n_tokens=tokens.sizes + 1, n_known=np.diff(upto(~far)), base=np.diff(upto(base)),
+                    rows=np.ones(len(ids), np.int64),
+                )
+                at = np.flatnonzero(far[tokens.codes])
+                found, times = np.unique(tokens.owner[at] * max(len(far), 1) + tokens.codes[at], return_counts=True)
+                if len(found):
+                    yield lines(
+                        pa.array(ids[found // len(far)]), word=tokens.hashes[found % len(far)].view(np.int64),
+                        times=times.astype(float),
+                    )
+
+    return run
+
+
+def renamed(shared, every: Vocabulary):
+    """Counted pairs in the symbols of a vocabulary of all words."""
+
+    def run(batches):
+        known: Vocabulary = shared.value
+        for batch in batches:
+            for pairs, counts, other in zip(*(batch.column(name).to_pylist() for name in ("pairs", "counts", "words"))):
+                special = [every.unseen, every.end, every.start]
+                table = np.concatenate((every.symbols(known.hashes), special, every.symbols(unpacked(other)))).astype(np.uint64)
+                history, word = split_pairs(unpacked(pairs))
+                named = packed((table[history] << np.uint64(BITS)) | table[word])
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (named, counts)], ["pairs", "counts"])
 
     return run
 
@@ -346,95 +523,137 @@ class Model:
         words_so_far, least = 0, kinds[0]["n"] + 1 if kinds else 1
         for row in kinds:
             words_so_far += row["count"]
-            if words_so_far > vocabulary_size:
+            if words_so_far > min(vocabulary_size, VOCABULARY):
                 break
             least = row["n"]
-        blocks = self.unigrams.filter(F.col("n") >= least).mapInArrow(blocks_of_words, "word binary, n binary").collect()
-        hashes = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(row["word"], np.uint64) for row in blocks]])
-        counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(row["n"], np.int64) for row in blocks]])
         docs = texts.filter("NOT held_out").count()
-        self.vocabulary = Vocabulary(
-            hashes, counts, docs, sum(row["n"] * row["count"] for row in kinds), sum(row["count"] for row in kinds)
-        )
+        self.totals = docs, sum(row["n"] * row["count"] for row in kinds), sum(row["count"] for row in kinds)
+        self.known = self.gathered(self.unigrams.filter(F.col("n") >= least))
+        self.others = self.unigrams.filter(F.col("n") < least)
+        counted = {row["n"]: row["count"] for row in kinds}
+        if docs:
+            counted[docs] = counted.get(docs, 0) + 1
+        self.unigram = Chances(counted)
         context = spark.sparkContext
-        self.shared = context.broadcast(self.vocabulary)
-        self.chances = context.broadcast(unigram_chances(self.vocabulary))
-        buckets = max(8, -(-self.vocabulary.tokens // bucket_tokens))
+        self.shared = context.broadcast(self.known)
+        self.known_chances = context.broadcast(self.unigram.symbols(self.known))
+        buckets = max(8, -(-self.known.tokens // bucket_tokens))
         table = fresh_folder(spark, "bigrams")
         (
             texts.select("doc_id", "text", "held_out")
             .mapInArrow(bigram_blocks(self.shared, buckets), BLOCKS)
             .groupBy("bucket")
-            .applyInPandas(count_bucket, COUNTED)
+            .applyInArrow(count_bucket(self.known.first), COUNTED)
             .write.parquet(table)
         )
-        self.bigrams = spark.read.parquet(table)
-        seen = self.bigrams.select([F.sum(F.get("seen", F.lit(at))).alias(f"n{at}") for at in range(TRUSTED + 1)]).first()
+        self.counted = spark.read.parquet(table)
+        seen = self.counted.select([F.sum(F.get("seen", F.lit(at))).alias(f"n{at}") for at in range(TRUSTED + 1)]).first()
         self.kept = discounts(np.array([x or 0 for x in seen], float))
-        sums = (
-            self.bigrams.select("pairs", "counts")
-            .mapInArrow(history_sums(self.kept, self.shared, self.chances), "history long, seen double, lower double")
-            .groupBy("history")
+        table = fresh_folder(spark, "sums")
+        (
+            self.counted.select("pairs", "counts", "words")
+            .mapInArrow(history_sums(self.kept, self.shared, self.known_chances), SUMS)
+            .write.parquet(table)
+        )
+        sums = spark.read.parquet(table)
+        asked = sums.filter("word IS NOT NULL").join(self.others, "word")
+        table = fresh_folder(spark, "weights")
+        (
+            sums.filter("word IS NULL").select("known", "history", "seen", "lower")
+            .union(asked.select("known", "history", "seen", self.unigram.column(F.col("n")).alias("lower")))
+            .groupBy("known", "history")
             .agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower"))
-            # No more histories than symbols, which the vocabulary bounds.
-            .mapInArrow(sums_block, "history binary, seen binary, lower binary")
-            .collect()
+            .select("known", "history", backoff(F.col("seen"), F.col("lower")).alias("weight"))
+            .write.parquet(table)
+        )
+        self.backoffs = spark.read.parquet(table)
+        weights = np.ones(self.known.first)
+        # No more histories than numbered words.
+        for row in self.backoffs.filter("known").select("history", "weight").mapInArrow(weights_block, "history binary, weight binary").collect():
+            weights[np.frombuffer(row["history"], "i8")] = np.frombuffer(row["weight"], "f8")
+        self.known_weights = context.broadcast(weights)
+
+    def gathered(self, unigrams: DataFrame) -> Vocabulary:
+        blocks = unigrams.mapInArrow(blocks_of_words, "word binary, n binary").collect()
+        hashes = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(row["word"], np.uint64) for row in blocks]])
+        counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(row["n"], np.int64) for row in blocks]])
+        return Vocabulary(hashes, counts, *self.totals)
+
+    # The whole of a small model, gathered to look into it; scoring takes none of these.
+    @cached_property
+    def vocabulary(self) -> Vocabulary:
+        return self.gathered(self.unigrams)
+
+    @property
+    def chances(self):
+        return SimpleNamespace(value=self.unigram.symbols(self.vocabulary))
+
+    @property
+    def weights(self):
+        value = np.ones(self.vocabulary.first)
+        for row in self.backoffs.collect():
+            if row["known"] and row["history"] >= self.known.unseen:
+                at = row["history"] - self.known.unseen + self.vocabulary.unseen
+            else:
+                word = self.known.hashes[row["history"]] if row["known"] else np.int64(row["history"]).view(np.uint64)
+                at = self.vocabulary.symbols(np.array([word], np.uint64))[0]
+            value[at] = row["weight"]
+        return SimpleNamespace(value=value)
+
+    @property
+    def bigrams(self) -> DataFrame:
+        return self.counted.select("pairs", "counts", "words").mapInArrow(
+            renamed(self.shared, self.vocabulary), "pairs binary, counts binary"
         )
-        weights = np.ones(self.vocabulary.start + 1)
-        for row in sums:
-            at, seen_, lower = (np.frombuffer(row[name], kind) for name, kind in (("history", "i8"), ("seen", "f8"), ("lower", "f8")))
-            weights[at] = backoff(seen_, lower)
-        self.weights = context.broadcast(weights)
 
     def scores(self) -> DataFrame:
         """``row_id`` with counts and log probabilities of each row's text."""
-        vocabulary = self.vocabulary
-        pairs = self.bigrams.mapInArrow(
-            bucket_scores(self.kept, self.shared, self.chances, self.weights), "row_id long, part double"
-        ).groupBy("row_id").agg(F.sum("part").alias("part"))
-        texts = self.texts.select("doc_id", "text", "held_out")
-        flat = texts.mapInArrow(
-            rare_words(self.shared), "row_id long, n_tokens long, n_known long, base double, word long, rare boolean"
+        spark = self.texts.sparkSession
+        pairs = self.counted.drop("seen", "bucket").mapInArrow(
+            bucket_scores(self.kept, self.shared, self.known_chances, self.known_weights), LINES
         )
-        total = F.lit(float(vocabulary.tokens + vocabulary.kinds + 1))
-        member = F.lit(float(vocabulary.rare_tokens + vocabulary.rare_kinds + 1))
+        texts = self.texts.select("doc_id", "text", "held_out").mapInArrow(text_lines(self.shared), LINES)
+        folder = fresh_folder(spark, "lines")
+        sums = [F.sum(name).alias(name) for name in pairs.columns[2:]]
+        pairs.union(texts).groupBy("row_id", "word").agg(*sums).write.parquet(folder)
+        table = spark.read.parquet(folder)
+        weights = self.backoffs.filter("NOT known").select(F.col("history").alias("word"), "weight")
+        total = F.lit(float(self.known.tokens + self.known.kinds + 1))
         count = F.coalesce(F.col("n"), F.lit(0)) + 1
-        rare = (
-            flat.filter("rare").groupBy("row_id", "word").agg(F.count("*").alias("times"))
-            .join(self.unigrams, "word", "left")
+        far = (
+            table.filter("word IS NOT NULL").select("row_id", "word", "times", "lower_times", "weight_times")
+            .join(self.others.join(weights, "word"), "word", "left")
             .groupBy("row_id")
             .agg(
-                F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-                F.sum(F.col("times") * F.log10(count / total)).alias("rare_base"),
-                F.sum(F.col("times") * F.log10(count / member)).alias("rare_part"),
+                F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("far_known"),
+                F.sum(F.col("times") * F.log10(count / total)).alias("far_base"),
+                F.sum(
+                    F.col("lower_times") * F.log10(self.unigram.column(F.col("n")))
+                    + F.col("weight_times") * F.log10(F.coalesce("weight", F.lit(1.0)))
+                ).alias("far_part"),
             )
         )
         zero = lambda name: F.coalesce(F.col(name), F.lit(0))
+        each = lambda value: value / F.col("rows")
         # Every text's end is a token, which training knows if it had any text.
-        end = float(vocabulary.base(vocabulary.docs))
-        return (
-            flat.filter("NOT rare")
-            .groupBy("row_id", "n_tokens", "n_known")
-            .agg(F.min("base").alias("base"), F.count("*").alias("rows"))
-            .join(pairs, "row_id").join(rare, "row_id", "left")
-            .select(
-                "row_id", "n_tokens",
-                (F.col("n_known") + (zero("rare_known") / F.col("rows")).cast("long") + (1 if vocabulary.docs else 0)).alias("n_known"),
-                F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-                (F.col("base") + zero("rare_base") / F.col("rows") + end).alias("base_score"),
-                ((F.col("part") + zero("rare_part")) / F.col("rows")).alias("score"),
-            )
+        end = float(self.known.base(self.known.docs))
+        return table.filter("word IS NULL").join(far, "row_id", "left").select(
+            "row_id",
+            each(F.col("n_tokens")).cast("long").alias("n_tokens"),
+            (each(F.col("n_known") + zero("far_known")).cast("long") + (1 if self.known.docs else 0)).alias("n_known"),
+            F.lit(self.known.tokens).cast("long").alias("train_tokens"),
+            (each(F.col("base") + zero("far_base")) + end).alias("base_score"),
+            each(F.col("part") + zero("far_part")).alias("score"),
         )
 
 
-def backoff(seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
+def backoff(seen, lower):
     """Weights that make each history's chances add up to 1.
 
     Where every symbol was seen, or nothing was taken off the counts, the least
     positive mass keeps unseen symbols possible.
     """
-    free, below = np.maximum(1 - seen, 1e-12), np.maximum(1 - lower, 1e-12)
-    return free / below
+    return F.greatest(1 - seen, F.lit(1e-12)) / F.greatest(1 - lower, F.lit(1e-12))
 
 
 def score(docs: DataFrame, vocabulary: int = VOCABULARY, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -444,7 +663,8 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, bucket_tokens: int = BU
     learnt from, a null counting as not held out. A null or empty text is the
     end alone. Repeated rows count as often as they occur. Other columns are
     kept; those with names of results are replaced. Without training rows every
-    word is unknown. An empty table gives an empty one.
+    word is unknown. An empty table gives an empty one. ``vocabulary`` bounds the
+    words that tasks know without a join; no result hangs on it.
     """
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     docs = docs.drop(*names).withColumn("held_out", F.coalesce("held_out", F.lit(False)))

@@ -379,6 +379,42 @@ def test_katz_adds_up_and_scores(spark, docs, empty, texts):
     assert katz.score(empty.withColumn("held_out", F.lit(False))).count() == 0
 
 
+def plain_katz(rows):
+    """Scores by the definition, with every training word a word of its own."""
+    ones, twos, train = collections.Counter(), collections.Counter(), 0
+    lines = {doc: ["<s>", *split(lowered(text)), "</s>"] for doc, text, _ in rows}
+    for doc, _, held in rows:
+        if not held:
+            ones.update(lines[doc][1:])
+            twos.update(itertools.pairwise(lines[doc]))
+            train += 1
+    total = sum(ones.values())
+    kept = {n: katz.discounts(np.array([list(c.values()).count(at) for at in range(1, 7)], float)) for n, c in ((1, ones), (2, twos))}
+    cut = lambda n, count: count * kept[n][count] if count <= 5 else count
+    free = max(1 - sum(cut(1, count) for count in ones.values()) / total, 1 / (total + 1))
+    norm = free + sum(cut(1, count) for count in ones.values()) / total
+    chance = lambda word: (cut(1, ones[word]) / total if word in ones else free) / norm
+    before = collections.Counter(ones) + collections.Counter({"<s>": train})
+    seen, lower = collections.Counter(), collections.Counter()
+    for (a, b), count in twos.items():
+        seen[a] += cut(2, count) / before[a]
+        lower[a] += chance(b)
+    weight = lambda a: max(1 - seen[a], 1e-12) / max(1 - lower[a], 1e-12) if a in seen else 1
+    step = lambda a, b: cut(2, twos[a, b]) / before[a] if (a, b) in twos else weight(a) * chance(b)
+    return {doc: sum(math.log10(step(*pair)) for pair in itertools.pairwise(line)) for doc, line in lines.items()}
+
+
+@pytest.mark.parametrize("known", [0, 30, 1 << 20])
+def test_katz_gives_every_word_its_own_counts(spark, known):
+    pick = random.Random(8)
+    rows = [(i, " ".join(f"w{int(pick.paretovariate(0.5)) % 900}" for _ in range(pick.randint(0, 90))), i % 5 == 2) for i in range(150)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    want = plain_katz(rows)
+    got = {row["doc_id"]: row["score"] for row in katz.score(table, vocabulary=known, bucket_tokens=500).collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[doc], want[doc], rel_tol=1e-9) for doc in want)
+
+
 def test_quality_classifier(spark, docs, empty):
     pick = random.Random(4)
     rows, labels = [], []

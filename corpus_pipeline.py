@@ -39,7 +39,7 @@ def passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the packed sequences."""
+    """The ids of each piece of each document, and its place in the packed sequences."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("copy")

@@ -3,13 +3,12 @@
 Documents are cut into full sequences and a rest. Pieces fall at random into
 groups of bounded size, and each group is packed on its own: longest piece
 first, into the first sequence with room, found in a tournament tree whose inner
-nodes hold the largest room below them.
+nodes hold the largest room below them. Pieces carry their ids all the way, so
+sequences can be put together from the result alone.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,9 +22,7 @@ from tallymart.session import fresh_folder
 LENGTH = 4096
 END_ID = 2
 GROUP_PIECES = 8192
-PIECES = (
-    "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long"
-)
+PIECES = "doc_id long, copy long, start long, length long, ids binary, doc_tokens long"
 PLACES = f"{PIECES}, bin long, offset long"
 
 
@@ -78,12 +75,13 @@ def tokenized_pieces(path: str, length: int, end: int):
                 for (doc, copy), a, b in zip(keys, bounds[:-1].tolist(), bounds[1:].tolist()):
                     for at in range(a, b, length):
                         stop = min(at + length, b)
-                        crc = zlib.crc32(flat[at:stop].tobytes())
-                        for column, value in zip(columns, (doc, copy, at - a, stop - at, crc, b - a)):
+                        raw = flat[at:stop].astype("<u4", copy=False).tobytes()
+                        for column, value in zip(columns, (doc, copy, at - a, stop - at, raw, b - a)):
                             column.append(value)
+                names = ["doc_id", "copy", "start", "length", "ids", "doc_tokens"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(column, pa.int64()) for column in columns],
-                    ["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens"],
+                    [pa.array(column, pa.binary() if name == "ids" else pa.int64()) for name, column in zip(names, columns)],
+                    names,
                 )
 
     return run
@@ -101,11 +99,13 @@ def pack_group(length: int):
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END_ID,
          group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Where every piece of every document stands in which sequence.
+    """The ids of every piece of every document, and where it stands in which sequence.
 
     Takes ``doc_id`` and ``text``; other columns are ignored. Returns per piece
-    ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``,
+    ``doc_id``, ``start``, ``length``, ``ids``, ``ids_crc32``, ``doc_tokens``,
     ``sequence_id``, ``offset`` and ``copy``, which tells rows of one id apart.
+    ``ids`` are whole numbers of 4 bytes, the lowest first; those of a sequence's
+    pieces by offset are its tokens.
 
     A null or empty text is one piece of the end id alone. Texts longer than a
     sequence fill whole ones and leave a rest. A null id is kept as such.
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END_I
     )
     # Bins of all groups are interleaved, so a sequence has one number.
     return placed.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+        "doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         (F.col("bin") * groups + F.col("bucket")).alias("sequence_id"), "offset", "copy",
     )
 
@@ -141,4 +141,5 @@ def op1_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # The digest of each piece stands for its ids.
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")

@@ -123,6 +123,25 @@ def test_packing(docs, empty, texts):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packed_sequences_hold_all_tokens(docs, texts):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    sequences, own = collections.defaultdict(list), collections.defaultdict(list)
+    for row in packing.pack(docs, path, group_pieces=8).collect():
+        sequences[row["sequence_id"]].append((row["offset"], row["length"], row["copy"], row["start"], bytes(row["ids"])))
+        own[row["copy"]].append((row["start"], row["doc_id"], bytes(row["ids"])))
+        assert zlib.crc32(row["ids"]) == row["ids_crc32"]
+    want = collections.Counter(
+        (doc, np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for doc, text in texts
+    )
+    assert collections.Counter((parts[0][1], b"".join(raw for *_, raw in sorted(parts))) for parts in own.values()) == want
+    for parts in sequences.values():
+        line = b"".join(raw for *_, raw in sorted(parts))
+        assert all(line[4 * at : 4 * (at + size)] == raw and len(raw) == 4 * size for at, size, *_, raw in parts)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_first_fit_decreasing_equals_plain_one(seed):
     pick = random.Random(seed)

@@ -1,6 +1,6 @@
 """Exact top-k search by inner product with a KD-tree per shard.
 
-Vectors are dealt into shards of bounded size. Each shard is split at medians of
+Repeated rows are dropped, and vectors are dealt into shards of bounded size. Each shard is split at medians of
 its widest components into a tree whose nodes carry tight bounding boxes, and
 the trees are written as a table. Queries travel in blocks: first to one shard,
 whose k-th score is handed on, then to all others, where it prunes from the
@@ -64,9 +64,9 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF_ROWS) -> d
 
 
 def search_tree(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int):
-    """Per query the pairs (score, -vec_id) of its best ``k`` rows of a tree.
+    """Per query the ``k`` best distinct pairs (score, -vec_id) of a tree.
 
-    ``floors`` are scores that k rows elsewhere reach already: only rows of at
+    ``floors`` are scores that k pairs elsewhere reach already: only pairs of at
     least that score are returned. Rows of the query's own id take no part.
     """
     vectors, rows = tree["vectors"], tree["ids"]
@@ -82,6 +82,7 @@ def search_tree(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarra
     for at, query in enumerate(queries):
         box, floor, own = bounds[at].tolist(), floors[at], ids[at]
         best: list[tuple] = []
+        held: set[tuple] = set()
         waiting = [(-box[0], 0)]
         while waiting:
             bound, node = heapq.heappop(waiting)
@@ -97,12 +98,17 @@ def search_tree(tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarra
             scores = vectors[part] @ query
             good = np.flatnonzero(scores >= floor)
             for score, row in zip(scores[good].tolist(), rows[part][good].tolist()):
-                if row == own:
+                pair = (score, -row)
+                # Vectors of one id may score the same and take one place.
+                if row == own or pair in held:
                     continue
                 if len(best) < k:
-                    heapq.heappush(best, (score, -row))
-                elif (score, -row) > best[0]:
-                    heapq.heapreplace(best, (score, -row))
+                    heapq.heappush(best, pair)
+                elif pair > best[0]:
+                    held.discard(heapq.heapreplace(best, pair))
+                else:
+                    continue
+                held.add(pair)
             if len(best) == k:
                 floor = max(floor, best[0][0])
         out.append(best)
@@ -166,13 +172,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHA
     part; vectors of another length score nothing. Returns ``query_id``,
     ``rank``, ``vec_id``, ``score``. A query id that is repeated is asked once,
     by its first vector in order; repeated candidates count once per id and
-    score. Empty tables give an empty table. Scores must fit into a long.
+    score, before the ``k`` best are taken. Empty tables give an empty table. Scores must fit into a long.
     """
     spark = vectors.sparkSession
+    single = fresh_folder(spark, "vectors")
+    vectors.select("vec_id", "vector").distinct().write.parquet(single)
+    vectors = spark.read.parquet(single)
     shards = max(1, -(-vectors.count() // shard_rows))
     folder = fresh_folder(spark, "trees")
+    # By id and vector, so that an id with many vectors fills no shard alone.
     (
-        vectors.withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)), "dim": F.size("vector")})
+        vectors.withColumns({"shard": F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)), "dim": F.size("vector")})
         .groupBy("shard", "dim")
         .applyInPandas(plant(leaf_rows), TREES)
         .write.parquet(folder)
@@ -195,6 +205,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHA
     seeds = fresh_folder(spark, "seeds")
     found(asked.withColumn("floor", F.lit(float("-inf"))), F.array(home)).write.parquet(seeds)
     near = spark.read.parquet(seeds)
+    # A tree gives each pair once, so these are k different ones.
     kth = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
     floored = asked.join(kth, asked["vec_id"] == kth["query_id"], "left").select(
         "vec_id", "vector", "block", "dim",

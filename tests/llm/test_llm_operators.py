@@ -329,6 +329,24 @@ def test_vector_search(spark):
     assert vector_search.search(whole.filter("false"), whole, 5).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [10_000, 60])
+def test_vector_search_of_repeated_rows(spark, shard_rows):
+    pick = np.random.default_rng(6)
+    rows = [(i, [int(x) for x in pick.integers(-9, 9, 4)]) for i in range(200)]
+    # A row that is repeated, and one id with many vectors of which some score the same.
+    rows += [(500, [90, 90, 90, 90])] * 300 + [(501, [-90, -90, 90, 90])] * 9
+    rows += [(502, [x, y, 8 - x, 8 - y]) for x in range(9) for y in range(9)] * 2
+    table = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(3)
+    queries = table.filter("vec_id % 20 = 0 OR vec_id = 502")
+    asked = {i: min(v for other, v in rows if other == i) for i, _ in rows if i % 20 == 0 or i == 502}
+    want = set()
+    for query, vector in asked.items():
+        pairs = sorted({(-sum(a * b for a, b in zip(vector, v)), i) for i, v in rows if i != query})
+        want |= {(query, rank, i, -score) for rank, (score, i) in enumerate(pairs[:5], 1)}
+    got = vector_search.search(table, queries, 5, shard_rows=shard_rows, leaf_rows=8, block_queries=3).collect()
+    assert len(got) == len(want) and {tuple(row) for row in got} == want
+
+
 def test_forward_backward_equals_enumeration():
     pick = np.random.default_rng(2)
     scores, moves = pick.normal(size=(5, 3)), pick.normal(size=(3, 3))

@@ -480,3 +480,14 @@ def test_posterior_follows_accurate_labellers():
     table, good = quality_classifier.estimate(patterns, np.array([80.0, 15.0, 4.0, 1.0]))
     chance = quality_classifier.posterior(patterns, table, good)
     assert chance[0] > 0.9 and chance[1] < 0.1 and np.allclose(table.sum(2), 1)
+
+
+def test_filtered_verdicts_split_words_once(spark):
+    text = " ".join(f"w{at % 977}" for at in range(20000))
+    long = spark.createDataFrame([(1, text), (2, None), (2, None)], "doc_id long, text string")
+    judged = quality_rules.judge(long, order=list(quality_rules.RULES)).filter("kept")
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(quality_rules.BLANKS) == 1
+    assert judged.count() == 0
+    rows = quality_rules.judge(long, order=list(quality_rules.RULES)[::-1]).collect()
+    assert [row["failed_rule"] for row in sorted(rows, key=lambda r: r["doc_id"])] == ["repeats_itself", "too_short", "too_short"]

@@ -26,9 +26,24 @@ def rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    others = jaccard_join.join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*map(F.col, docs.columns))
+    """One row of each group of near copies: the one of smallest doc_id, then row.
+
+    Rows are the nodes, not ids: every row gets a key written with it before
+    the join, so repeated rows of one id, rows of a null id and two texts of one
+    id are each judged by their own text. A null id sorts last in its group.
+    """
+    keyed_at = fresh_folder(spark, "pipeline-rows")
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(keyed_at)
+    keyed = spark.read.parquet(keyed_at)
+    groups = jaccard_join.join(keyed.select(F.col("_row").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")
+    )
+    placed = keyed.join(groups, "_row")
+    first = placed.groupBy("_group").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_row"))).alias("_first")
+    )
+    chosen = first.select(F.col("_first._row").alias("_row"))
+    return keyed.join(chosen, "_row", "left_semi").select(*map(F.col, docs.columns))
 
 
 def passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are the nodes, not ids: every row gets a key written with it before
     the join, so repeated rows of one id, rows of a null id and two texts of one
     id are each judged by their own text. A null id sorts last in its group.
+    Rows without words link with nothing and all stay.
     """
     keyed_at = fresh_folder(spark, "pipeline-rows")
     docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(keyed_at)

@@ -49,3 +49,13 @@ def test_pipeline_runs_whole(spark):
     kept = pieces.select("doc_id").distinct().count()
     assert 0.6 * total < kept < total
     assert pieces.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "min"}).filter("`sum(length)` <> `min(doc_tokens)`").isEmpty()
+
+
+def test_near_copies_by_row(spark):
+    text = " ".join(f"word{at}" for at in range(40))
+    rows = [(1, text), (1, text), (None, text + " tail"), (2, "other words " * 9), (2, text), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((row["doc_id"] or -1, row["text"]) for row in corpus_pipeline.near_copies(spark, docs, str(FOLDER)).collect())
+    # One row stays of the group of the long text (id 1), the other text of id 2 stays;
+    # texts without words link with nothing, so both null rows of id 3 stay.
+    assert kept == sorted([(1, text), (2, "other words " * 9), (3, None), (3, None)], key=lambda r: (r[0], r[1] or ""))

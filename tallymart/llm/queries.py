@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallymart.llm import (
     chat_format,
+    fill_in_middle,
     jaccard_join,
     katz,
     language_id,
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
 }
 
 ORACLES = {
     "op10_vector_search": vector_search.OP10_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
+    "op11_fill_in_middle": fill_in_middle.OP11_SQL,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallymart.llm import (
+    byte_bpe,
     chat_format,
     fill_in_middle,
     jaccard_join,
@@ -28,6 +29,7 @@ QUERIES = {
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_chat_format": chat_format.op8_chat_format,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
 ORACLES = {

@@ -10,6 +10,7 @@ from tallymart.llm import (
     katz,
     language_id,
     packing,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     sentence_pieces,
@@ -29,6 +30,7 @@ QUERIES = {
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_chat_format": chat_format.op8_chat_format,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 

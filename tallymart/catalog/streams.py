@@ -17,7 +17,7 @@ from tallymart.plans import rollup
 from tallymart.session import fresh_folder
 from tallymart.sources import sample, stores, upserts
 from tallymart.streaming import envelopes as env
-from tallymart.streaming import key_sharing, subscriptions, tables
+from tallymart.streaming import key_sharing, lsm, subscriptions, tables
 
 MIDDLE = "2024-01-15"
 VISIT = "ts timestamp_ntz, api_key bigint, ip string, browser string"
@@ -124,11 +124,18 @@ def ingest_positions(spark, folder):
     return spark.read.parquet(path).select(*POSITION_COLUMNS)
 
 
+def day_slices(events: DataFrame, time: str, parts: int) -> list[DataFrame]:
+    """Events in ``parts`` slices of days; the first slice comes last, as late rows."""
+    day = F.dayofmonth(F.col(time))
+    slices = [events.where((day - 1) % parts == k) for k in range(parts)]
+    return slices[1:] + slices[:1]
+
+
 def stream_daily_rollup(spark, folder):
-    path = _envelopes(spark, folder, tables.stream_rollup)
-    compacted = fresh_folder(spark, "compacted")
-    tables.compact(spark, path, compacted)
-    return rollup.daily_sales(rollup.sku_days(spark.read.parquet(compacted)))
+    """The roll-up fed batch by batch into the log-structured table, compacted mid-stream."""
+    parts = day_slices(sample.stored_envelopes(spark, folder), "scrap_time", 2 * lsm.FANOUT)
+    root = run(spark, parts, "json", schemas.ENVELOPE, lsm.stream_rollup)
+    return rollup.daily_sales(rollup.sku_days(lsm.read(spark, root)))
 
 
 def stream_categories(spark, folder):

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tallymart.catalog.oracles import ORACLES
+from tallymart.catalog.queries import QUERIES
 from tools.check import plain, rows_of
 
 FOLDER = pathlib.Path("/root/testdata/sf0.001")
@@ -20,11 +22,12 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", entry.queries())
+# The training-data queries have their own tests beside them.
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, con, name):
-    frame = entry.queries()[name](spark, str(FOLDER))
+    frame = QUERIES[name](spark, str(FOLDER))
     rows = frame.collect()
-    sql = entry.oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
         assert frame.columns
         return

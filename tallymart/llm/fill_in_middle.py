@@ -157,6 +157,12 @@ def pieces(docs: DataFrame, text: str = "text", seed: int = SEED, fim_percent: i
 def _stream(keep_text: bool):
     """Sorted pieces in, one row per document out; digests grow piece by piece."""
     heads = ("doc_id", "n", "form", "prefix_chars", "middle_chars")
+    # Explicit types: a batch of plain rows alone has only nulls in the counts.
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()),
+         ("middle_chars", pa.int64()), ("output_sha256", pa.string()), ("restored_sha256", pa.string())]
+        + ([("output", pa.string()), ("restored", pa.string())] if keep_text else [])
+    )
 
     def run(batches):
         key, info, out, back, texts = None, None, None, None, None
@@ -184,11 +190,11 @@ def _stream(keep_text: bool):
                 if keep_text:
                     texts[columns["pass"][at]].append(columns["text"][at])
             if done:
-                yield pa.RecordBatch.from_pydict(done)
+                yield pa.RecordBatch.from_pydict(done, schema=schema)
                 done = {}
         if key is not None:
             finish()
-            yield pa.RecordBatch.from_pydict(done)
+            yield pa.RecordBatch.from_pydict(done, schema=schema)
 
     return run
 

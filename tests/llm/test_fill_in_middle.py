@@ -56,3 +56,9 @@ def test_plan_has_no_exchange(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = fill_in_middle.assemble(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort [" in plan
+
+
+def test_plain_rows_alone(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "<P> x")], "doc_id long, text string").coalesce(1)
+    rows = fill_in_middle.assemble(docs).collect()
+    assert sorted((r["doc_id"], r["form"], r["prefix_chars"]) for r in rows) == [(1, "plain", None), (2, "plain", None), (3, "plain", None)]

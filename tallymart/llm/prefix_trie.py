@@ -264,14 +264,21 @@ def _pieces(borders):
                     digest = hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()
                     emit(d, kq, ka, pq, pa, node.low, hi - lo + 1, children, leaves, shared, head, digest, None)
             if len(out["depth"]) >= 50_000:
-                yield pd.DataFrame(out)
+                yield _frame(out)
                 out = {name: [] for name in out}
         if out["depth"]:
-            yield pd.DataFrame(out)
+            yield _frame(out)
 
     return run
 
 
+def _frame(out: dict[str, list]) -> pd.DataFrame:
+    """Columns of nullable 64-bit integers stay exact (no float in between)."""
+    return pd.DataFrame({
+        name: pd.array(values, dtype="string" if name == "ends_sha256" else "Int64") for name, values in out.items()
+    })
+
+
 def _stream_ends(batches):
     """Sorted (node, conv_id) rows in; one hash per node out."""
     node, digest, first = None, None, True

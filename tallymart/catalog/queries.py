@@ -269,10 +269,18 @@ def latest_per_period(spark, folder):
 RETAINED_AT = dt.date(2024, 2, 15)
 
 
+def purged(spark, rows, keep, as_of, sort, time="timestamp"):
+    """Rows appended by month to a table of their own, purged in place, read back."""
+    path = fresh_folder(spark, "retained")
+    stores.append_series(rows, path, sort, time)
+    stores.purge(spark, path, keep, as_of, time)
+    return spark.read.parquet(path).drop("month")
+
+
 def retention_raw(spark, folder):
-    """Raw snapshots that four months of keeping leave on a later day."""
-    raw = sample.stored_market(spark, folder).products
-    kept = stores.retain(raw, stores.KEEP_RAW, dt.date(2024, 5, 20))
+    """Raw snapshots that four months of keeping leave on a later day, purged by partition."""
+    raw = sample.stored_market(spark, folder).products.drop("month")
+    kept = purged(spark, raw, stores.KEEP_RAW, dt.date(2024, 5, 20), ["product_id", "sku_id", "timestamp"])
     return kept.groupBy("product_id").agg(F.count(F.lit(1)).alias("kept_rows"))
 
 
@@ -299,8 +307,10 @@ PLAIN = ["seller_link", "product_id", "days_in_stock", "order_amount", "revenue"
 
 
 def retention(spark, folder):
+    """Positions that a month of keeping leaves, purged by partition and read back."""
     positions = sample.product_position(spark, folder)
-    return stores.retain(positions, stores.KEEP_POSITIONS, RETAINED_AT)
+    kept = purged(spark, positions, stores.KEEP_POSITIONS, RETAINED_AT, ["category_id", "product_id", "timestamp"])
+    return kept.select(*positions.columns)
 
 
 def upsert_categories(spark, folder):

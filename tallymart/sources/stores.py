@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.session import fresh_folder
+from tallymart.sources.files import Store
 
 # How long rows of each table are kept.
 KEEP_RAW = "4 months"
@@ -74,6 +76,61 @@ def retain(table: DataFrame, keep: str, as_of: dt.date, time: str = "timestamp")
     return table.where(F.col(time) > surely_over).where(F.col(time) + span > now)
 
 
+def _later(day: dt.date, keep: str) -> dt.date:
+    """``day`` plus a span of whole days or months (``"3 days"``, ``"4 months"``)."""
+    count, unit = keep.split()
+    count = int(count)
+    if unit.startswith("day"):
+        return day + dt.timedelta(days=count)
+    if unit.startswith("month"):
+        month = day.month - 1 + count
+        year, month = day.year + month // 12, month % 12 + 1
+        last = (dt.date(year + month // 12, month % 12 + 1, 1) - dt.timedelta(days=1)).day
+        return dt.date(year, month, min(day.day, last))
+    raise ValueError(f"a span of days or months is needed, not {keep!r}")
+
+
+def purge(spark: SparkSession, path: str, keep: str, as_of: dt.date, time: str = "timestamp") -> dict[str, int]:
+    """Apply retention to a month-partitioned table in place, by partition.
+
+    Months whose every row is past ``keep`` are dropped whole: the folder is
+    first renamed to a hidden name, which readers skip, then deleted. Months
+    with every row still kept are not touched. Only a month on the border is
+    rewritten, file by file: the rows a file keeps are written aside, renamed
+    into the month, and only then is the old file removed, so a reader between
+    the two renames may see a file's kept rows twice but never miss one. Files
+    that appends add meanwhile are not listed and so stay as they are. Returns
+    the number of months dropped and rewritten and of files rewritten.
+    """
+    store = Store(spark, path)
+    done = {"dropped": 0, "rewritten": 0, "files": 0}
+    for name in store.names():
+        if not name.startswith("month="):
+            continue
+        month = int(name.split("=", 1)[1])
+        first = dt.date(month // 100, month % 100, 1)
+        after = _later(first, "1 month")
+        if _later(after, keep) <= as_of:
+            hidden = store.path(f".{name}.purged-{uuid.uuid4().hex}")
+            if store.rename(store.path(name), hidden):
+                store.fs.delete(store.Path(hidden), True)
+                done["dropped"] += 1
+            continue
+        if _later(first, keep) > as_of:
+            continue
+        done["rewritten"] += 1
+        for file in store.files(name):
+            rows = spark.read.option("basePath", path).parquet(store.path(name, file))
+            aside = store.path(f".rewrite-{uuid.uuid4().hex}")
+            retain(rows, keep, as_of, time).drop("month").write.parquet(aside)
+            for part in Store(spark, aside).files():
+                store.rename(f"{aside}/{part}", store.path(name, f"{uuid.uuid4().hex}-{part}"))
+            store.remove(name, file)
+            store.fs.delete(store.Path(aside), True)
+            done["files"] += 1
+    return done
+
+
 def latest(
     table: DataFrame, date: str = "snapshot_date", period: str = "period"
 ) -> DataFrame:

@@ -239,12 +239,16 @@ def daily_sales_merge(spark, folder):
 
 
 def snapshot_idempotent(spark, folder):
-    """One snapshot written twice to the same place."""
+    """One snapshot run published twice under one key; a killed run beside it stays unseen."""
     path = fresh_folder(spark, "snapshot")
     stats = stores.stage(category_period_stats(spark, folder), "stats")
     for _ in range(2):
-        stores.write_snapshot(stats, path)
-    return spark.read.schema(stats.schema).parquet(path)
+        stores.publish_snapshot(stats, path, f"category-stats-{AS_OF}")
+    # A run whose files were written but whose ledger entry never came.
+    killed = stores.Store(spark, path).path("runs", "run-killed")
+    stats.write.partitionBy("period", "snapshot_date", "root_id").parquet(killed)
+    stores.vacuum_snapshots(spark, path)
+    return stores.read_snapshots(spark, path).select(*stats.columns)
 
 
 def latest_snapshot(spark, folder):

@@ -161,3 +161,67 @@ def write_snapshot(table: DataFrame, path: str) -> None:
         .partitionBy(*keys)
         .parquet(path)
     )
+
+
+def publish_snapshot(table: DataFrame, path: str, run: str) -> str:
+    """Write a snapshot run whole, then make it visible by one ledger entry.
+
+    The rows go to a folder of their own under ``runs/``; only after all of its
+    files are there is ``ledger/<run>/v-N.json`` published by rename, naming
+    that folder. Readers (``read_snapshots``) see, per run key, the newest
+    entry's folder alone, so a run killed before its entry is never visible, and
+    a rerun of the same key replaces the earlier one as a whole. Returns the
+    folder written.
+    """
+    import json
+
+    spark = table.sparkSession
+    store = Store(spark, path)
+    folder = f"run-{uuid.uuid4().hex}"
+    (
+        table.hint("rebalance", "period", "snapshot_date", "root_id")
+        .write.partitionBy("period", "snapshot_date", "root_id")
+        .parquet(store.path("runs", folder))
+    )
+    versions = [int(name[2:-5]) for name in store.names("ledger", run) if name.startswith("v-") and name.endswith(".json")]
+    version = max(versions, default=0) + 1
+    if not store.publish(json.dumps({"run": run, "folder": folder}), "ledger", run, f"v-{version:010d}.json"):
+        raise RuntimeError(f"another writer published run {run} at the same time")
+    return folder
+
+
+def read_snapshots(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The newest published folder of every run key, read together."""
+    import json
+
+    store = Store(spark, path)
+    folders = []
+    for run in store.names("ledger"):
+        entries = sorted(name for name in store.names("ledger", run) if name.startswith("v-") and name.endswith(".json"))
+        if entries:
+            folders.append(store.path("runs", json.loads(store.read_text("ledger", run, entries[-1]))["folder"]))
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    if not folders:
+        return spark.createDataFrame([], schema) if schema is not None else None
+    table = reader.option("basePath", folders[0]).parquet(folders[0])
+    for folder in folders[1:]:
+        table = table.unionByName(reader.option("basePath", folder).parquet(folder))
+    return table
+
+
+def vacuum_snapshots(spark: SparkSession, path: str) -> int:
+    """Remove run folders that no newest ledger entry names; how many went."""
+    import json
+
+    store = Store(spark, path)
+    named = set()
+    for run in store.names("ledger"):
+        entries = sorted(name for name in store.names("ledger", run) if name.startswith("v-") and name.endswith(".json"))
+        if entries:
+            named.add(json.loads(store.read_text("ledger", run, entries[-1]))["folder"])
+    gone = 0
+    for folder in store.names("runs"):
+        if folder.startswith("run-") and folder not in named:
+            store.remove("runs", folder)
+            gone += 1
+    return gone

@@ -30,3 +30,17 @@ def test_spans():
     assert stores._later(dt.date(2024, 1, 31), "1 month") == dt.date(2024, 2, 29)
     assert stores._later(dt.date(2024, 11, 15), "4 months") == dt.date(2025, 3, 15)
     assert stores._later(dt.date(2024, 2, 27), "3 days") == dt.date(2024, 3, 1)
+
+
+def test_snapshot_runs_are_seen_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    rows = [(7, dt.date(2024, 1, 31), 1, 10), (14, dt.date(2024, 1, 31), 2, 20)]
+    table = spark.createDataFrame(rows, "period int, snapshot_date date, root_id long, value long")
+    first = stores.publish_snapshot(table, path, "stats-2024-01-31")
+    stores.publish_snapshot(table, path, "stats-2024-01-31")  # a rerun replaces the first as a whole
+    table.write.partitionBy("period", "snapshot_date", "root_id").parquet(Store(spark, path).path("runs", "run-killed"))
+    got = sorted(tuple(r) for r in stores.read_snapshots(spark, path).select(*table.columns).collect())
+    assert got == sorted(rows)
+    assert stores.vacuum_snapshots(spark, path) == 2  # the first run and the killed one
+    assert first not in Store(spark, path).names("runs")
+    assert sorted(tuple(r) for r in stores.read_snapshots(spark, path).select(*table.columns).collect()) == sorted(rows)

@@ -398,18 +398,14 @@ CHART = f"""
 SELECT product_id, {text('high - low')} AS order_amount_chart
 FROM (SELECT product_id, date, min(low) AS low, max(high) AS high FROM skuday GROUP BY product_id, date)
 GROUP BY product_id"""
-ORACLES["category_products_analytics"] = query(
-    "skuday subtree tops",
-    """SELECT category_id, m.product_id, title, order_amount, price, revenue, available_amount,
-reviews_amount, photo_key, cast(round(rating, 1) AS decimal(9,1)) AS rating,
-count(*) OVER (PARTITION BY category_id) AS total_row_count, c.order_amount_chart
-FROM merged m LEFT JOIN chart c ON c.product_id = m.product_id""",
-    **{
+def _category_products(low: int, roots: str = "") -> dict[str, str]:
+    """CTEs of the category products table: members of the month, merged per top and product."""
+    return {
         **PRODUCT_STATS,
         "chart": CHART,
-        "members": """
+        "members": f"""
 SELECT s.root_id AS top, k.* FROM topsku k JOIN subtree s USING (category_id)
-WHERE k.date >= DATE '2024-01-31' - 30""",
+WHERE k.date >= DATE '2024-01-31' - 30{roots}""",
         "merged": f"""
 SELECT *, price * order_amount AS revenue FROM (
 SELECT top AS category_id, product_id, arg_max(title, (last_seen, sku_id, title)) AS title,
@@ -419,8 +415,26 @@ SELECT top AS category_id, product_id, arg_max(title, (last_seen, sku_id, title)
   arg_max(reviews_amount, (last_seen, sku_id, reviews_amount)) AS reviews_amount,
   arg_max(photo_key, (last_seen, sku_id, photo_key)) AS photo_key,
   arg_max(rating, (last_seen, sku_id, rating)) AS rating
-FROM members GROUP BY top, product_id) WHERE order_amount BETWEEN 1 AND 1000000000""",
-    },
+FROM members GROUP BY top, product_id) WHERE order_amount BETWEEN {low} AND 1000000000""",
+    }
+
+
+_PRODUCT_COLUMNS = """SELECT category_id, m.product_id, title, order_amount, price, revenue, available_amount,
+reviews_amount, photo_key, cast(round(rating, 1) AS decimal(9,1)) AS rating,
+count(*) OVER (PARTITION BY category_id) AS total_row_count, c.order_amount_chart"""
+ORACLES["category_products_analytics"] = query(
+    "skuday subtree tops",
+    f"""{_PRODUCT_COLUMNS}
+FROM merged m LEFT JOIN chart c ON c.product_id = m.product_id""",
+    **_category_products(1),
+)
+ORACLES["category_products_page"] = query(
+    "skuday subtree tops",
+    f"""SELECT * FROM (
+{_PRODUCT_COLUMNS},
+row_number() OVER (ORDER BY revenue DESC NULLS LAST, title ASC NULLS FIRST, category_id, m.product_id) - 1 AS position
+FROM merged m LEFT JOIN chart c ON c.product_id = m.product_id) WHERE position >= 10 AND position < 30""",
+    **_category_products(10, " AND s.root_id IN (1, 2, 100, 1000)"),
 )
 ORACLES["products_order_chart"] = query("skuday", CHART)
 SPINE = {"spine": f"SELECT cast(unnest(generate_series({FROM}, {TO} - 1, INTERVAL 1 DAY)) AS date) AS date"}

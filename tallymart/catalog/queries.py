@@ -133,6 +133,25 @@ def category_products_analytics(spark, folder):
     return with_text(table, order_amount_chart="bigint")
 
 
+def category_products_page(spark, folder):
+    """A page past the first of category products under some roots: filtered, sorted by two fields, with positions."""
+    _, stats = stored_snapshots(spark, folder)
+    start, end = period_range(AS_OF, "month")
+    table = category.category_products_analytics(
+        sample.stored_market(spark, folder),
+        stats.where(F.col("period") == PERIOD_DAYS["month"]),
+        start,
+        end,
+        filters=[Between("order_amount", 10, 10**9)],
+        sort=[SortBy("revenue", descending=True), SortBy("title")],
+        limit=20,
+        offset=10,
+        roots=[1, 2, 100, 1000],
+        position="position",
+    )
+    return with_text(table, order_amount_chart="bigint")
+
+
 def products_order_chart(spark, folder):
     table = category.products_order_chart(sample.stored_market(spark, folder), START, AS_OF)
     return with_text(table, order_amount_chart="bigint")
@@ -563,6 +582,7 @@ QUERIES: dict[str, Query] = {
     "category_children_ranking": category_children_ranking,
     "category_product_period_stats": category_product_period_stats,
     "category_products_analytics": category_products_analytics,
+    "category_products_page": category_products_page,
     "products_order_chart": products_order_chart,
     "products_order_chart_filled": products_order_chart_filled,
     "category_sales_report": category_sales_report,

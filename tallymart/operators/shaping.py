@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymart.session import shared_folder
+
 from tallymart.sources.stores import stage
 
 
@@ -87,13 +89,58 @@ def page(
     limit: int | None = None,
     offset: int = 0,
 ) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of a total order."""
-    ordered = table.orderBy(*sort_columns(table, sort, tie_break))
+    """Rows ``offset`` to ``offset + limit`` of a total order.
+
+    A first page is a top-k, which keeps ``limit`` rows per task. Any page past
+    the first is found by ``ranked``, so no offset gathers rows in one task.
+    """
     if offset:
-        ordered = ordered.offset(offset)
+        return ranked(table, sort, tie_break, limit, offset)
+    ordered = table.orderBy(*sort_columns(table, sort, tie_break))
     return ordered if limit is None else ordered.limit(limit)
 
 
+def ranked(
+    table: DataFrame,
+    sort: Sequence[SortBy] = (),
+    tie_break: Sequence[str] = ("product_id",),
+    limit: int | None = None,
+    offset: int = 0,
+    position: str | None = None,
+) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of a total order, by distributed rank selection.
+
+    The table is range-partitioned and sorted by the order and written once;
+    rows are counted per partition (one small row each), the counts are summed
+    up in order, and only the partitions that hold the page are read on, each
+    row's rank being its partition's start plus its place in it. ``position``
+    names an added column with the rank (from 0). The result is in page order;
+    an empty table or a page past the end gives no rows.
+    """
+    spark = table.sparkSession
+    shared_folder(spark)
+    ordered = table.orderBy(*sort_columns(table, sort, tie_break)).checkpoint()
+    part = F.spark_partition_id()
+    counts = {
+        row["part"]: row["rows"]
+        for row in ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    }
+    starts, total = {}, 0
+    for number in sorted(counts):
+        starts[number], total = total, total + counts[number]
+    end = total if limit is None else min(total, offset + limit)
+    wanted = {number: at for number, at in starts.items() if at < end and at + counts[number] > offset}
+    rank = "_rank" if position is None else position
+    if not wanted:
+        return ordered.limit(0).withColumn(rank, F.lit(0).cast("long")).drop(*([] if position else [rank]))
+    first = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[part]
+    # Within a partition the id counts rows in order from partition << 33.
+    place = F.monotonically_increasing_id() - part.cast("long") * (1 << 33)
+    rows = ordered.where(part.isin(list(wanted))).withColumn(rank, (first + place).cast("long"))
+    chosen = rows.where((F.col(rank) >= offset) & (F.col(rank) < end)).orderBy(rank)
+    return chosen if position else chosen.drop(rank)
+
+
 def with_total(table: DataFrame, keys: Sequence[str] = (), out: str = "total") -> DataFrame:
     """Add the row count of the whole table or of each ``keys`` group.
 

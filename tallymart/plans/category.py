@@ -20,7 +20,7 @@ from tallymart.marketplace import Marketplace
 from tallymart.operators.counters import with_orders
 from tallymart.operators.gaps import fill_array
 from tallymart.operators.hierarchy import hierarchy
-from tallymart.operators.shaping import SortBy, dynamic_filter, page, sort_columns, staged_with_total
+from tallymart.operators.shaping import SortBy, dynamic_filter, page, ranked, sort_columns, staged_with_total
 from tallymart.operators.spread import grouped_median
 from tallymart.plans.rollup import merge_product_days, product_days, with_median
 from tallymart.plans.sales import product_sales
@@ -394,11 +394,14 @@ def category_products_analytics(
     limit: int | None = None,
     offset: int = 0,
     roots: Sequence[int] | None = None,
+    position: str | None = None,
 ) -> DataFrame:
     """Products of each category from the newest product snapshot, with a chart.
 
     ``stats`` holds one period of category x product snapshots. The filters act
-    on the aggregated columns; the total counts what they leave.
+    on the aggregated columns; the total counts what they leave. ``position``
+    names an added column with each row's rank in the whole sorted table; the
+    page is then found by distributed rank selection and returned in its order.
     """
     at = (F.col("last_seen"), F.col("last_sku"))
     lasts = ("title", "available_amount", "reviews_amount", "photo_key", "rating")
@@ -428,7 +431,9 @@ def category_products_analytics(
     )
     kept = dynamic_filter(rows, filters)
     counted = staged_with_total(kept, ["category_id"], "total_row_count")
-    if limit is not None or sort or offset:
+    if position is not None:
+        counted = ranked(counted, sort, ["category_id", "product_id"], limit, offset, position)
+    elif limit is not None or sort or offset:
         counted = page(counted, sort, ["category_id", "product_id"], limit, offset)
     shown = None
     if limit is not None:
@@ -436,6 +441,8 @@ def category_products_analytics(
         shown = partial(_shown, counted)
     chart = products_order_chart(market, start, end, member=shown)
     joined = counted.join(chart, "product_id", "left")
+    if position is not None:
+        return joined.orderBy(position)
     if limit is None:
         return joined
     # A join keeps no order; a page is small enough to be sorted again.

@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymart.operators.skew import skew_join
 from tallymart.session import shared_folder
 
 from tallymart.sources.stores import stage
@@ -145,13 +146,15 @@ def with_total(table: DataFrame, keys: Sequence[str] = (), out: str = "total") -
     """Add the row count of the whole table or of each ``keys`` group.
 
     The total of the whole table is one row, so its join is a broadcast; a
-    group's total is joined on its key, where adaptive execution may split a
-    skewed one. No window gathers a group in one task.
+    group's total is joined on its key by ``skew_join``, which spreads the rows
+    of heavy keys and copies their totals, since adaptive execution does not
+    split a join whose side is an aggregate. No window gathers a group in one
+    task.
     """
     if not keys:
         return table.crossJoin(F.broadcast(table.agg(F.count(F.lit(1)).alias(out))))
     totals = table.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    return table.join(totals, list(keys))
+    return skew_join(table, totals, list(keys))
 
 
 def staged_with_total(

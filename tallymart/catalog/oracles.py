@@ -870,3 +870,46 @@ WHERE cast(timestamp AS date) + INTERVAL 3 DAY > TIMESTAMP '2024-01-31' GROUP BY
 )
 ORACLES["report_export"] = f"""SELECT seller_link, product_id, days_in_stock, order_amount, revenue, abc_orders, abc_revenue
 FROM ({ORACLES["abc_report"]})"""
+
+# A key's places as a state carried row by row: a recursive step per visit, in (ts, ip, browser) order.
+_KEY_STATES = {
+    "visits": """  SELECT api_key, ip, browser, ts, row_number() OVER (PARTITION BY api_key ORDER BY ts, ip, browser) AS i
+  FROM (SELECT api_key, ip, browser, min(ts) AS ts FROM access GROUP BY api_key, ip, browser, date_trunc('second', ts))""",
+    "states": """  SELECT api_key, 0::BIGINT AS i, NULL::TIMESTAMP AS started, NULL::TIMESTAMP AS renewed, false AS flagged,
+    []::STRUCT(ip VARCHAR, browser VARCHAR)[] AS places, false AS alarm, NULL::TIMESTAMP AS seen_at
+  FROM (SELECT DISTINCT api_key FROM visits)
+  UNION ALL
+  SELECT api_key, i, started, renewed, flagged OR alarm, places, alarm, seen_at FROM (
+    SELECT *, NOT known AND NOT was_flagged AND len(places) > 2 AND (
+        (len(list_distinct(list_transform(places, lambda p: p.ip))) > 4
+         AND len(list_distinct(list_transform(places, lambda p: p.browser))) > 2)
+        OR list_max(list_transform(places, lambda p: len(list_filter(places, lambda q: q.ip = p.ip)))) > 3
+      ) AS alarm
+    FROM (
+      SELECT api_key, i, known, was_flagged, vts AS seen_at,
+        CASE WHEN known THEN p0 ELSE list_append(p0, {'ip': vip, 'browser': vbr}) END AS places,
+        CASE WHEN known THEN st0 ELSE coalesce(st0, vts) END AS started,
+        CASE WHEN known THEN rn0 ELSE greatest(coalesce(rn0, vts), vts) END AS renewed,
+        was_flagged AS flagged
+      FROM (
+        SELECT *, list_contains(p0, {'ip': vip, 'browser': vbr}) AS known FROM (
+          SELECT s.api_key, v.i, v.ts AS vts, v.ip AS vip, v.browser AS vbr,
+            CASE WHEN reset THEN []::STRUCT(ip VARCHAR, browser VARCHAR)[] ELSE s.places END AS p0,
+            CASE WHEN reset THEN NULL ELSE s.started END AS st0,
+            CASE WHEN reset THEN NULL ELSE s.renewed END AS rn0,
+            CASE WHEN reset THEN false ELSE s.flagged END AS was_flagged
+          FROM states s JOIN visits v ON v.api_key = s.api_key AND v.i = s.i + 1,
+            LATERAL (SELECT s.renewed IS NOT NULL AND v.ts > s.renewed + INTERVAL 2 HOUR AS reset)
+        )
+      )
+    )
+  )""",
+}
+ORACLES["key_sharing_detector"] = query(
+    "access",
+    """SELECT api_key::BIGINT AS api_key, started AS started_at, seen_at AS flagged_at, len(places)::INTEGER AS places,
+  len(list_distinct(list_transform(places, lambda p: p.ip)))::INTEGER AS addresses,
+  len(list_distinct(list_transform(places, lambda p: p.browser)))::INTEGER AS browsers
+FROM states WHERE alarm""",
+    **_KEY_STATES,
+)

@@ -18,15 +18,22 @@ KEEP_SNAPSHOTS = "3 days"
 
 
 def append_series(rows: DataFrame, path: str, sort: list[str], time: str = "timestamp"):
-    """Append to a table partitioned by month, sorted for row-group skipping.
-
-    Rows stay in the partitions they arrive in: each task writes its own file
-    per month and no key has to fit one task.
+    """Append to a table partitioned by month and range-clustered by ``sort``.
+
+    Rows are range-partitioned by (month, *sort) before they are written, so
+    each file holds a narrow range of the first key and its row groups' minima
+    and maxima exclude the rest; a single product or category reads few row
+    groups. The range includes the later keys, so a key that holds much of a
+    month is split over several files and tasks. The first key also gets a
+    Parquet bloom filter, which answers equality lookups inside a file's range.
     """
+    month = F.date_format(time, "yyyyMM").cast("int")
     (
-        rows.withColumn("month", F.date_format(time, "yyyyMM").cast("int"))
+        rows.withColumn("month", month)
+        .repartitionByRange("month", *sort)
         .sortWithinPartitions("month", *sort)
         .write.mode("append")
+        .option(f"parquet.bloom.filter.enabled#{sort[0]}", "true")
         .partitionBy("month")
         .parquet(path)
     )

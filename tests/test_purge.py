@@ -44,3 +44,36 @@ def test_snapshot_runs_are_seen_whole_or_not_at_all(spark, tmp_path):
     assert stores.vacuum_snapshots(spark, path) == 2  # the first run and the killed one
     assert first not in Store(spark, path).names("runs")
     assert sorted(tuple(r) for r in stores.read_snapshots(spark, path).select(*table.columns).collect()) == sorted(rows)
+
+
+def test_appends_are_clustered_by_the_first_key(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # Product 0 holds a third of the rows.
+        rows = spark.range(60_000).select(
+            F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 500).alias("product_id"),
+            (F.col("id") % 7).alias("sku_id"),
+            (F.lit(dt.datetime(2024, 1, 1)) + F.make_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("id") % 55).cast("int"))).cast("timestamp_ntz").alias("timestamp"),
+        ).repartition(8)
+        path = tmp_path / "series"
+        stores.append_series(rows, str(path), ["product_id", "sku_id", "timestamp"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(path.glob("month=*/*.parquet"))
+    ranges = []
+    for file in files:
+        meta = pq.ParquetFile(file).metadata
+        column = meta.schema.names.index("product_id")
+        for group in range(meta.num_row_groups):
+            stats = meta.row_group(group).column(column).statistics
+            ranges.append((stats.min, stats.max))
+    touching = lambda product: sum(low <= product <= high for low, high in ranges)
+    assert len(files) >= 16
+    assert touching(250) <= 2 * len(list(path.glob("month=*")))  # one product: one range per month, or two
+    assert touching(0) > 2  # the hot product is spread over several files
+    assert spark.read.parquet(str(path)).count() == 60_000

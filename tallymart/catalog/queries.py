@@ -24,7 +24,7 @@ from tallymart.operators.counters import with_orders
 from tallymart.operators.gaps import gap_fill, gap_fill_carry
 from tallymart.operators.shaping import Between, Contains, Equals, SortBy, dynamic_filter, page
 from tallymart.operators.spread import grouped_median
-from tallymart.plans import audits, category, product, report, rollup, seller, snapshots
+from tallymart.plans import audits, category, product, report, rollup, seller, sketches, snapshots
 from tallymart.session import fresh_folder
 from tallymart.sources import sample, stores, upserts
 
@@ -152,6 +152,13 @@ def category_products_page(spark, folder):
     return with_text(table, order_amount_chart="bigint")
 
 
+def category_sketch_estimates(spark, folder):
+    """Sellers, products and median price of every category's subtree over the days, from stored sketches."""
+    market = sample.stored_market(spark, folder)
+    states = stores.stage(sketches.category_day_states(market), "sketches")
+    return sketches.range_estimates(market, states, START, AS_OF)
+
+
 def products_order_chart(spark, folder):
     table = category.products_order_chart(sample.stored_market(spark, folder), START, AS_OF)
     return with_text(table, order_amount_chart="bigint")
@@ -583,6 +590,7 @@ QUERIES: dict[str, Query] = {
     "category_product_period_stats": category_product_period_stats,
     "category_products_analytics": category_products_analytics,
     "category_products_page": category_products_page,
+    "category_sketch_estimates": category_sketch_estimates,
     "products_order_chart": products_order_chart,
     "products_order_chart_filled": products_order_chart_filled,
     "category_sales_report": category_sales_report,

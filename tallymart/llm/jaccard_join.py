@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tallymart.llm import sketches, words
 from tallymart.session import fresh_folder
+from tallymart.sources.files import Store
 
 SHINGLE = 5
 BASE = 0xBF58476D1CE4E5B9
@@ -246,8 +247,18 @@ def compare(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """The pairs (``hub``, ``doc_id``) of similar sets, as a written table."""
+def _remove(spark, *folders: str) -> None:
+    """Delete finished tables of the shared folder; nothing reads them any more."""
+    for folder in folders:
+        Store(spark, folder).remove()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, made: list[str] | None = None) -> DataFrame:
+    """The pairs (``hub``, ``doc_id``) of similar sets, as a written table.
+
+    The folders written are added to ``made``, for removal once the links are
+    no longer read.
+    """
     spark = pairs.sparkSession
     folder = fresh_folder(spark, "pairs")
     pairs.select("hub", "doc_id").write.parquet(folder)
@@ -263,6 +274,8 @@ def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int) ->
     )
     hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("doc_id"))
     linked = fresh_folder(spark, "links")
+    if made is not None:
+        made += [folder, linked]
     (
         partners.union(hubs)
         .join(sets, "doc_id")
@@ -284,10 +297,13 @@ def components(links: DataFrame) -> DataFrame:
     links.union(links.select("b", "a")).distinct().write.parquet(edges_at)
     edges = spark.read.parquet(edges_at)
     labels = edges.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("a"), F.min("b")).alias("component"))
+    done: list[str] = []  # tables of the round before, read by nothing once this round's labels are written
     while True:
         folder = fresh_folder(spark, "components")
         labels.write.parquet(folder)
         labels = spark.read.parquet(folder)
+        _remove(spark, *done)
+        done = [folder]
         near = (
             edges.join(labels, edges["b"] == labels["doc_id"])
             .groupBy(F.col("a").alias("doc_id"))
@@ -304,8 +320,10 @@ def components(links: DataFrame) -> DataFrame:
         moved.write.parquet(step)
         moved = spark.read.parquet(step)
         if moved.filter("component < before").isEmpty():
+            _remove(spark, folder, edges_at)
             return moved.select("doc_id", "component")
         labels = moved.select("doc_id", "component")
+        done.append(step)
 
 
 def needed_overlap(a: Column, b: Column) -> Column:
@@ -364,7 +382,8 @@ def join(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
     )
-    links = verified(stars, texts, reps, width)
+    made: list[str] = []
+    links = verified(stars, texts, reps, width, made)
     # Rows of one id may hold several sets; each of them leads to that id.
     copies = filled.join(same, ["n", "set1", "set2"]).filter("doc_id <> rep").select(
         F.col("rep").alias("a"), F.col("doc_id").alias("b")
@@ -392,8 +411,10 @@ def join(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         .select(F.col("a_doc_id").alias("hub"), F.col("b_doc_id").alias("doc_id"))
         .distinct()
     )
-    more = verified(crossing, texts, reps, width)
+    more = verified(crossing, texts, reps, width, made)
     found = components(links.union(copies).union(more))
+    # Only the signatures and the last labels are read on.
+    _remove(spark, index_at, sides_at, *made)
     return signed.join(found, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )

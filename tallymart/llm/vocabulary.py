@@ -62,7 +62,13 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
-        model = json.loads(self.tokenizer.to_str())["model"]
+        spec = json.loads(self.tokenizer.to_str())
+        normaliser = spec.get("normalizer") or {}
+        steps = {step.get("type") for step in normaliser.get("normalizers", [normaliser])}
+        if "Lowercase" not in steps:
+            # Pieces are cut with A to Z lower-cased; a cased tokenizer would get other ids.
+            raise ValueError("a tokenizer whose normaliser lower-cases is needed")
+        model = spec["model"]
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if mark := model.get("end_of_word_suffix"):
             self.last[[at for piece, at in model["vocab"].items() if piece.endswith(mark)]] = True

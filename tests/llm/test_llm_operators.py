@@ -491,3 +491,11 @@ def test_filtered_verdicts_split_words_once(spark):
     assert judged.count() == 0
     rows = quality_rules.judge(long, order=list(quality_rules.RULES)[::-1]).collect()
     assert [row["failed_rule"] for row in sorted(rows, key=lambda r: r["doc_id"])] == ["repeats_itself", "too_short", "too_short"]
+
+
+def test_word_ids_refuse_a_cased_tokenizer():
+    from tallymart.llm import vocabulary
+
+    with pytest.raises(ValueError, match="lower-cases"):
+        vocabulary.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert vocabulary.WordIds(public_tokenizers.path("word_bpe_49k.json")).tokenizer

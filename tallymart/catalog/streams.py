@@ -228,10 +228,20 @@ def key_sharing_detector(spark, folder):
     once = spark.read.parquet(run(spark, parts, "parquet", VISIT, start_once)).drop("batch_id")
 
     def start_alarms(stream, path, checkpoint):
-        return tables.append_rows(key_sharing.stream_alarms(stream), path, checkpoint)
+        return tables.append_rows(key_sharing.stream_alarms_in_store(stream), path, checkpoint)
 
     halves = deliveries(once, "ts", MIDDLE)
-    return spark.read.parquet(run(spark, halves, "parquet", VISIT, start_alarms))
+    # The state store of this query is RocksDB; other queries keep the session's.
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    try:
+        path = run(spark, halves, "parquet", VISIT, start_alarms)
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+    return spark.read.parquet(path)
 
 
 QUERIES = {

@@ -91,3 +91,102 @@ def stream_alarms(visits: DataFrame) -> DataFrame:
     return visits.groupBy("api_key").applyInPandasWithState(
         _follow_key, ALARM, _STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_KEEP_MICROS = KEEP_HOURS * 3600 * 1_000_000
+
+
+class PlaceWatch:
+    """Keyed state of one API key in the state store, one map entry per place.
+
+    ``session`` holds (started, renewed, flagged, places, addresses, browsers,
+    widest) with times in microseconds; ``places`` maps (ip, browser) to the
+    time it was first seen, ``addresses`` and ``browsers`` count places per
+    address and per browser. An event-time timer at ``renewed`` plus the kept
+    hours clears all of it, so idle keys leave no state. Known places are found
+    by one map lookup, not a scan of a list.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState(
+            "session",
+            "started long, renewed long, flagged boolean, places long, addresses long, browsers long, widest long",
+        )
+        self.places = handle.getMapState("places", "ip string, browser string", "seen long")
+        self.addresses = handle.getMapState("addresses", "ip string", "n long")
+        self.browsers = handle.getMapState("browsers", "browser string", "n long")
+
+    def _clear(self) -> None:
+        for state in (self.session, self.places, self.addresses, self.browsers):
+            state.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    def handleInputRows(self, key, rows, timerValues):
+        # The visits of one key in one batch, in time order; a batch is bounded by the trigger.
+        visits = pd.concat(list(rows)).sort_values(["ts", "ip", "browser"])
+        started, renewed, flagged, places, addresses, browsers, widest = (
+            self.session.get() if self.session.exists() else (None, None, False, 0, 0, 0, 0)
+        )
+        alarms = []
+        for ts, ip, browser in zip(visits["ts"], visits["ip"], visits["browser"]):
+            at = pd.Timestamp(ts).value // 1000
+            if renewed is not None and at > renewed + _KEEP_MICROS:
+                self._clear()
+                started, renewed, flagged, places, addresses, browsers, widest = None, None, False, 0, 0, 0, 0
+            if self.places.containsKey((ip, browser)):
+                continue
+            self.places.updateValue((ip, browser), (at,))
+            per_address = (self.addresses.getValue((ip,))[0] if self.addresses.containsKey((ip,)) else 0) + 1
+            addresses += per_address == 1
+            self.addresses.updateValue((ip,), (per_address,))
+            per_browser = (self.browsers.getValue((browser,))[0] if self.browsers.containsKey((browser,)) else 0) + 1
+            browsers += per_browser == 1
+            self.browsers.updateValue((browser,), (per_browser,))
+            places, widest = places + 1, max(widest, per_address)
+            started = at if started is None else started
+            renewed = at if renewed is None else max(renewed, at)
+            too_many = places > MAX_PLACES and (
+                (addresses > MAX_ADDRESSES and browsers > MAX_BROWSERS) or widest > MAX_BROWSERS_PER_ADDRESS
+            )
+            if not flagged and too_many:
+                flagged = True
+                alarms.append((key[0], started, at, places, addresses, browsers))
+        if renewed is not None:
+            self.session.update((started, renewed, flagged, places, addresses, browsers, widest))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((renewed + _KEEP_MICROS) // 1000 + 1)
+        if alarms:
+            frame = pd.DataFrame(alarms, columns=["api_key", "started_at", "flagged_at", "places", "addresses", "browsers"])
+            for column in ("started_at", "flagged_at"):
+                frame[column] = pd.to_datetime(frame[column], unit="us")
+            yield frame.astype({"places": "int32", "addresses": "int32", "browsers": "int32"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_alarms_in_store(visits: DataFrame, delay: str = f"{KEEP_HOURS} hours") -> DataFrame:
+    """As ``stream_alarms``, with the key's places in the RocksDB state store and timers that expire them.
+
+    Visits are watermarked ``delay`` behind the newest; visits later than the
+    watermark are dropped by Spark, as for any event-time state.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    processor = type("PlaceWatchProcessor", (PlaceWatch, StatefulProcessor), {})
+    visits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Watermarks need a time-zoned column; the session's zone (UTC) reads the local times.
+    return (
+        visits.withColumn("_event_at", F.col("ts").cast("timestamp"))
+        .withWatermark("_event_at", delay)
+        .groupBy("api_key")
+        .transformWithStateInPandas(processor(), ALARM, "Append", "EventTime")
+    )

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallymart.operators.running import running_sums
+from tallymart.sources.files import Store
 from tallymart.sources.stores import stage
 from tallymart.streaming.tables import replace_batch
 
@@ -49,6 +50,65 @@ STATE = (
     "multiply int, batch_id int"
 )
 ORPHANS = f"{EVENT}, batch_id int"
+#: Hash buckets of payments in the state tables; a batch reads the buckets it touches.
+BUCKETS = 64
+#: Runs of batches a bucket may hold before they are merged into one.
+RUNS = 4
+
+
+def bucket_of(payment: Column) -> Column:
+    return F.pmod(F.xxhash64(payment), F.lit(BUCKETS)).cast("int")
+
+
+def replace_bucketed(rows: DataFrame, batch: int, path: str) -> None:
+    """Write one batch by (bucket, batch_id), replacing an earlier try of the same batch."""
+    (
+        rows.withColumns({"bucket": bucket_of(F.col("payment_id")), "batch_id": F.lit(batch)})
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket", "batch_id")
+        .parquet(path)
+    )
+
+
+def read_buckets(spark, path: str, schema: str, buckets: list[int], before: int) -> DataFrame:
+    """Rows of earlier batches in the given buckets only; other buckets' folders are not read."""
+    store = Store(spark, path)
+    folders = [store.path(f"bucket={k}") for k in buckets if store.names(f"bucket={k}")]
+    if not folders:
+        return spark.createDataFrame([], f"{schema}, bucket int")
+    table = spark.read.schema(f"{schema}, bucket int").option("basePath", path).parquet(*folders)
+    return table.where(F.col("batch_id") < before)
+
+
+def compact_states(spark, path: str, buckets: list[int], number: int) -> int:
+    """Merge the runs of earlier batches of crowded buckets into one; how many buckets.
+
+    A bucket holding ``RUNS`` or more runs before ``number`` gets one run of
+    batch ``number - 1`` with the newest state of each payment, written aside
+    first and then over that run; the older runs go after it. A replay of batch
+    ``number`` reads the same newest states as before, and a bucket's reads stay
+    bounded however many batches went before.
+    """
+    store = Store(spark, path)
+    crowded = []
+    for k in buckets:
+        runs = [int(name.split("=", 1)[1]) for name in store.names(f"bucket={k}") if name.startswith("batch_id=")]
+        if len([b for b in runs if b < number]) >= RUNS:
+            crowded.append(k)
+    if not crowded:
+        return 0
+    fields = ["status", "user_id", "subscription_type", "multiply"]
+    old = read_buckets(spark, path, STATE, crowded, number)
+    newest = old.groupBy("payment_id").agg(F.max(F.struct("batch_id", *fields)).alias("_s")).select(
+        "payment_id", *(F.col(f"_s.{c}").alias(c) for c in fields)
+    )
+    replace_bucketed(stage(newest, "payment-runs"), number - 1, path)
+    for k in crowded:
+        for name in store.names(f"bucket={k}"):
+            if name.startswith("batch_id=") and int(name.split("=", 1)[1]) < number - 1:
+                store.remove(f"bucket={k}", name)
+    return len(crowded)
 
 
 def granted_days(multiply: Column) -> Column:
@@ -224,7 +284,10 @@ def stream_payments(
     """Keep the status of every payment and the grants of each batch.
 
     A batch starts from the states earlier batches left, so a repeated batch
-    reads the same states and replaces its own rows. Everything is a join and a
+    reads the same states and replaces its own rows. States and waiting rows are
+    kept by (bucket, batch) of the payment's hash; a batch lists and reads only
+    the buckets its payments fall in, and crowded buckets are compacted, so what
+    a batch reads does not grow with the number of batches before it. Everything is a join and a
     window over the payments of the batch, however many they are. Statuses of
     unknown payments wait in a table beside the states, by batch, and are told
     again with their payment's creation, as if they had come in order; successes
@@ -235,23 +298,22 @@ def stream_payments(
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = batch.select(*EVENT_FIELDS)
+        known = stage(batch.select(*EVENT_FIELDS), "payment-batch")
+        # The buckets this batch touches: at most BUCKETS numbers.
+        touched = [row["bucket"] for row in known.select(bucket_of(F.col("payment_id")).alias("bucket")).distinct().collect()]
         if number > 0:
-            waiting = spark.read.schema(ORPHANS).parquet(waiting_path)
+            waiting = read_buckets(spark, waiting_path, ORPHANS, touched, number)
             created = known.where(F.col("kind") != "status").select("payment_id").distinct()
-            late = (
-                waiting.where(F.col("batch_id") < number)
-                .join(created, "payment_id", "left_semi")
-                .select(*EVENT_FIELDS)
-            )
-            states = spark.read.schema(STATE).parquet(states_path)
+            late = waiting.join(created, "payment_id", "left_semi").select(*EVENT_FIELDS)
+            states = read_buckets(spark, states_path, STATE, touched, number)
             known = known.unionByName(late).unionByName(carried(states, number, known))
         # Written once: the tables that it reads change below.
         chained = stage(sequenced(known), "payments")
         replace_batch(_grants(chained), number, grants_path)
-        replace_batch(payment_states(chained), number, states_path)
+        replace_bucketed(payment_states(chained), number, states_path)
         orphaned = chained.where(F.col("orphan") & (F.col("kind") == "status"))
-        replace_batch(orphaned.select(*EVENT_FIELDS), number, waiting_path)
+        replace_bucketed(orphaned.select(*EVENT_FIELDS), number, waiting_path)
+        compact_states(spark, states_path, touched, number)
 
     return (
         events.writeStream.foreachBatch(handle)

@@ -35,13 +35,14 @@ BUCKET_TOKENS = 2_000_000
 #: Tokens of a bucket that are scored at a time.
 PART_TOKENS = 1 << 19
 SPLIT_TOKENS = 1_000_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bits of a symbol in counted pairs, and of symbols and documents in blocks.
 BITS = 32
 BLOCK_BITS = 22
 DOC_BITS = 20
 #: Tokens of a block at most, so that its own words and documents fit these bits.
-BLOCK_TOKENS = 1 << DOC_BITS
+BLOCK_TOKENS = 1 << 18  # at most 1 << DOC_BITS
+BATCH_BYTES = 8 << 20  # packed blocks sent on at once
 BLOCKS = "bucket long, docs binary, held binary, tokens binary, times binary, words binary"
 COUNTED = (
     "bucket long, docs binary, owner binary, tokens binary, times binary, pairs binary, counts binary, words binary, "
@@ -271,16 +272,28 @@ def bigram_blocks(shared, buckets: int):
                 ids = part.column("doc_id").to_numpy().astype(np.int64)
                 for start in range(0, len(line), BLOCK_TOKENS):
                     some = slice(start, start + BLOCK_TOKENS)
-                    out = list(blocks(history[some], line[some], doc[some], other, tokens, ids))
-                    kinds = (pa.int64(), *[pa.binary()] * 5)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row[x] for row in out], kind) for x, kind in enumerate(kinds)],
-                        ["bucket", "docs", "held", "tokens", "times", "words"],
-                    )
+                    # Buckets leave as they are packed, in batches of bounded bytes.
+                    out, size = [], 0
+                    for row in blocks(history[some], line[some], doc[some], other, tokens, ids):
+                        out.append(row)
+                        size += sum(len(value) for value in row[1:])
+                        if size >= BATCH_BYTES:
+                            yield _block_batch(out)
+                            out, size = [], 0
+                    if out:
+                        yield _block_batch(out)
 
     return run
 
 
+def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([row[x] for row in rows], kind) for x, kind in enumerate(kinds)],
+        ["bucket", "docs", "held", "tokens", "times", "words"],
+    )
+
+
 def block_pairs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     history = found >> np.uint64(BLOCK_BITS + DOC_BITS)
     return history.astype(np.int64), ((found >> np.uint64(DOC_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)

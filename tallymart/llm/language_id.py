@@ -29,6 +29,10 @@ EPOCHS = 4
 RATE = 0.3
 SEED = 7
 PREDICTED = "doc_id long, lang_pred string, score double"
+SPANS = "array<struct<first:int,last:int,lang:string,chance:double>>"
+SPAN_TYPE = pa.list_(
+    pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string()), ("chance", pa.float64())])
+)
 
 
 @dataclass
@@ -212,7 +216,24 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def predictor(model: Field | None):
+def word_spans(chance: np.ndarray, labels: list[str]) -> list[dict]:
+    """Runs of words of one text whose likeliest label is the same.
+
+    ``first`` and ``last`` count words from 0; ``chance`` is the mean marginal
+    of the run's label over its words.
+    """
+    if not len(chance):
+        return []
+    best = chance.argmax(1)
+    starts = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1])))
+    stops = np.append(starts[1:], len(best))
+    return [
+        {"first": int(a), "last": int(b - 1), "lang": labels[best[a]], "chance": float(chance[a:b, best[a]].mean())}
+        for a, b in zip(starts.tolist(), stops.tolist())
+    ]
+
+
+def predictor(model: Field | None, spans: bool = False):
     def run(batches):
         for batch in batches:
             for part in words.row_slices(batch, "text"):
@@ -224,19 +245,25 @@ def predictor(model: Field | None):
                 ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122)
                 spelled = np.diff(np.concatenate(([0], np.cumsum(ascii_letter)))[ends]) > 0
                 langs, scores = ["und"] * part.num_rows, [0.0] * part.num_rows
+                runs: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 if model is not None:
                     table = emissions(model, distinct) if len(distinct) else np.zeros((0, len(model.labels)))
                     chance = ragged_marginals(table[codes], bounds, model.moves)
+                    # The document's label is the one its words' marginals favour most in sum.
                     mean = summed(chance, bounds) / np.maximum(np.diff(bounds), 1)[:, None]
                     best = mean.argmax(1)
                     for row in range(part.num_rows):
                         if spelled[row] or has_letter(filled[row].as_py()):
                             langs[row] = model.labels[best[row]]
                             scores[row] = min(1.0, max(0.0, float(mean[row, best[row]])))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                    ["doc_id", "lang_pred", "score"],
-                )
+                            if spans:
+                                runs[row] = word_spans(chance[bounds[row] : bounds[row + 1]], model.labels)
+                columns = [part.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                names = ["doc_id", "lang_pred", "score"]
+                if spans:
+                    columns.append(pa.array(runs, SPAN_TYPE))
+                    names.append("spans")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -259,15 +286,18 @@ def fit(labelled: DataFrame, docs: int = SAMPLE_DOCS, most_words: int = SAMPLE_W
     return train([row["text"] for row in rows], [row["lang"] for row in rows]) if rows else None
 
 
-def label(docs: DataFrame, model: Field | None) -> DataFrame:
-    """``doc_id``, ``lang_pred`` and ``score`` of every document.
+def label(docs: DataFrame, model: Field | None, spans: bool = False) -> DataFrame:
+    """``doc_id``, ``lang_pred`` and ``score`` of every document, and its word ``spans`` if asked.
 
-    A text that is null, empty or without letters is ``und`` with score 0, as is
-    everything without a model. Rows are independent: null and repeated ids are
-    kept, other columns are ignored, and an empty table gives an empty one.
+    Each word gets the marginal chance of every label by forward-backward; the
+    spans are runs of words of the same likeliest label (for code-switched
+    text), and ``lang_pred`` is the label of the greatest summed chance. A text
+    that is null, empty or without letters is ``und`` with score 0 and no spans,
+    as is everything without a model. Rows are independent: null and repeated
+    ids are kept, other columns are ignored, and an empty table gives an empty one.
     """
     rows = docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text")
-    return rows.mapInArrow(predictor(model), PREDICTED)
+    return rows.mapInArrow(predictor(model, spans), f"{PREDICTED}, spans {SPANS}" if spans else PREDICTED)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

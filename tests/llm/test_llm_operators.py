@@ -499,3 +499,18 @@ def test_word_ids_refuse_a_cased_tokenizer():
     with pytest.raises(ValueError, match="lower-cases"):
         vocabulary.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
     assert vocabulary.WordIds(public_tokenizers.path("word_bpe_49k.json")).tokenizer
+
+
+def test_language_spans_of_code_switched_text(spark, docs):
+    pick = random.Random(2)
+    grown = {"xx": ["blor", "blim", "blas", "blend"], "yy": ["krat", "krim", "kros", "krel"]}
+    rows = [(i, " ".join(pick.choice(grown[lang]) + pick.choice(["", "a", "o"]) for _ in range(60)), lang) for i in range(40) for lang in grown]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    switched = [(1, "blora blim blas blenda blor krat krima kros krel kroso"), (2, None), (3, "123 456"), (3, "123 456")]
+    frame = spark.createDataFrame(switched, "doc_id long, text string")
+    got = sorted(language_id.label(frame, model, spans=True).collect(), key=lambda row: row["doc_id"])
+    first = got[0]
+    assert [(span["first"], span["last"], span["lang"]) for span in first["spans"]] == [(0, 4, "xx"), (5, 9, "yy")]
+    assert all(0 <= span["chance"] <= 1 for span in first["spans"])
+    assert first["lang_pred"] in ("xx", "yy")
+    assert [row["spans"] for row in got[1:]] == [[], [], []] and [row["lang_pred"] for row in got[1:]] == ["und"] * 3

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,46 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _KEEP_MICROS = KEEP_HOURS * 3600 * 1_000_000
 
 
+def _numbered(rows: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """Times in microseconds and place numbers of visits in order, and the places in order.
+
+    A visit is held as twelve bytes, whatever its texts. Order is by time, then
+    address, then browser, nulls last.
+    """
+    numbers: dict[tuple, int] = {}
+    times, codes = [], []
+    for frame in rows:
+        times.append(frame["ts"].to_numpy("datetime64[us]").astype(np.int64))
+        ip, ips = pd.factorize(frame["ip"], use_na_sentinel=False)
+        browser, browsers = pd.factorize(frame["browser"], use_na_sentinel=False)
+        pairs, local = np.unique(ip * max(len(browsers), 1) + browser, return_inverse=True)
+        texts = [
+            tuple(None if pd.isna(text) else text for text in (ips[pair // len(browsers)], browsers[pair % len(browsers)]))
+            for pair in pairs
+        ]
+        own = np.array([numbers.setdefault(place, len(numbers)) for place in texts], np.int32)
+        codes.append(own[local])
+    places = list(numbers)
+    ranked = sorted(range(len(places)), key=lambda n: [(text is None, text or "") for text in places[n]])
+    rank = np.empty(len(places), np.int32)
+    rank[ranked] = np.arange(len(places), dtype=np.int32)
+    at, code = np.concatenate(times), rank[np.concatenate(codes)]
+    order = np.lexsort((code, at))
+    return at[order], code[order], [places[n] for n in ranked]
+
+
+def _first_unknown(known: np.ndarray, code: np.ndarray, start: int, end: int) -> int:
+    """The first visit from ``start`` on to a place that is not known, or ``end``."""
+    size = 64
+    while start < end:
+        stop = min(start + size, end)
+        new = ~known[code[start:stop]]
+        if new.any():
+            return start + int(new.argmax())
+        start, size = stop, min(2 * size, 1 << 16)
+    return end
+
+
 class PlaceWatch:
     """Keyed state of one API key in the state store, one map entry per place.
 
@@ -104,8 +145,9 @@ class PlaceWatch:
     widest) with times in microseconds; ``places`` maps (ip, browser) to the
     time it was first seen, ``addresses`` and ``browsers`` count places per
     address and per browser. An event-time timer at ``renewed`` plus the kept
-    hours clears all of it, so idle keys leave no state. Known places are found
-    by one map lookup, not a scan of a list.
+    hours clears all of it, so idle keys leave no state. A batch looks each of its
+    places up once and passes over visits to known ones in blocks, so a busy
+    key costs lookups and writes by its places, not by its visits.
     """
 
     def init(self, handle) -> None:
@@ -126,35 +168,59 @@ class PlaceWatch:
 
     def handleInputRows(self, key, rows, timerValues):
         # The visits of one key in one batch, in time order; a batch is bounded by the trigger.
-        visits = pd.concat(list(rows)).sort_values(["ts", "ip", "browser"])
-        started, renewed, flagged, places, addresses, browsers, widest = (
-            self.session.get() if self.session.exists() else (None, None, False, 0, 0, 0, 0)
-        )
-        alarms = []
-        for ts, ip, browser in zip(visits["ts"], visits["ip"], visits["browser"]):
-            at = pd.Timestamp(ts).value // 1000
-            if renewed is not None and at > renewed + _KEEP_MICROS:
-                self._clear()
+        at, code, distinct = _numbered(rows)
+        session = self.session.get() if self.session.exists() else (None, None, False, 0, 0, 0, 0)
+        started, renewed, flagged, places, addresses, browsers, widest = session
+        # Each place of the batch is looked up once; what the batch adds is written at its end.
+        known = np.array([self.places.containsKey(place) for place in distinct], bool)
+        added: list[int] = []
+        counts: dict[str, dict] = {"addresses": {}, "browsers": {}}
+        cleared, alarms, row = False, [], 0
+
+        def one_more(name: str, value) -> int:
+            held = counts[name]
+            if value not in held:
+                state = getattr(self, name)
+                held[value] = state.getValue((value,))[0] if not cleared and state.containsKey((value,)) else 0
+            held[value] += 1
+            return held[value]
+
+        while row < len(at):
+            if renewed is not None and at[row] > renewed + _KEEP_MICROS:
                 started, renewed, flagged, places, addresses, browsers, widest = None, None, False, 0, 0, 0, 0
-            if self.places.containsKey((ip, browser)):
+                known[:] = False
+                counts = {"addresses": {}, "browsers": {}}
+                cleared, added = True, []
+            # Visits to known places change nothing until the kept hours are over.
+            end = len(at) if renewed is None else int(np.searchsorted(at, renewed + _KEEP_MICROS, "right"))
+            row = _first_unknown(known, code, row, end)
+            if row == end:
                 continue
-            self.places.updateValue((ip, browser), (at,))
-            per_address = (self.addresses.getValue((ip,))[0] if self.addresses.containsKey((ip,)) else 0) + 1
+            place, now = int(code[row]), int(at[row])
+            ip, browser = distinct[place]
+            known[place] = True
+            added.append((place, now))
+            per_address, per_browser = one_more("addresses", ip), one_more("browsers", browser)
             addresses += per_address == 1
-            self.addresses.updateValue((ip,), (per_address,))
-            per_browser = (self.browsers.getValue((browser,))[0] if self.browsers.containsKey((browser,)) else 0) + 1
             browsers += per_browser == 1
-            self.browsers.updateValue((browser,), (per_browser,))
             places, widest = places + 1, max(widest, per_address)
-            started = at if started is None else started
-            renewed = at if renewed is None else max(renewed, at)
+            started = now if started is None else started
+            renewed = now if renewed is None else max(renewed, now)
             too_many = places > MAX_PLACES and (
                 (addresses > MAX_ADDRESSES and browsers > MAX_BROWSERS) or widest > MAX_BROWSERS_PER_ADDRESS
             )
             if not flagged and too_many:
                 flagged = True
-                alarms.append((key[0], started, at, places, addresses, browsers))
-        if renewed is not None:
+                alarms.append((key[0], started, now, places, addresses, browsers))
+            row += 1
+        if cleared:
+            self._clear()
+        for place, now in added:
+            self.places.updateValue(distinct[place], (now,))
+        for name, held in counts.items():
+            for value, n in held.items():
+                getattr(self, name).updateValue((value,), (n,))
+        if renewed is not None and added:
             self.session.update((started, renewed, flagged, places, addresses, browsers, widest))
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)

@@ -38,8 +38,9 @@ def run(
     source, target, checkpoint = (
         fresh_folder(spark, name) for name in ("events", "stream", "checkpoint")
     )
+    packed = sample.PACKED if kind == "json" else {}
     for part in parts:
-        part.write.mode("append").format(kind).options(**sample.MICROS).save(source)
+        part.write.mode("append").format(kind).options(**sample.MICROS, **packed).save(source)
         stream = spark.readStream.schema(schema).format(kind).options(**sample.MICROS).load(source)
         start(stream, target, checkpoint).awaitTermination()
     return target

@@ -318,6 +318,9 @@ _ENVELOPES: dict[tuple[str, str], str] = {}
 
 # Event files carry their times to the microsecond.
 MICROS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+# Event texts repeat their field names, so they are written compressed; such a
+# file is read by one task, hence the bound on its rows.
+PACKED = {"compression": "gzip", "maxRecordsPerFile": 100_000}
 
 
 def stored_envelopes(spark: SparkSession, folder: str) -> DataFrame:
@@ -325,7 +328,7 @@ def stored_envelopes(spark: SparkSession, folder: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _ENVELOPES:
         path = fresh_folder(spark, "envelopes")
-        envelopes(spark, folder).write.options(**MICROS).json(path)
+        envelopes(spark, folder).write.options(**MICROS, **PACKED).json(path)
         _ENVELOPES[key] = path
     return spark.read.schema(schemas.ENVELOPE).options(**MICROS).json(_ENVELOPES[key])
 

@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,12 +50,16 @@ LABELLERS = (
     "insult", "insults", "prose", "clean",
 )
 BAD, NOTHING, GOOD = 0, 1, 2
-# Stands for digits, letters and marks of a word in its shape.
 MARKS = b"#*$%&|<>!"
+#: What is taken off both ends of a word.
+STRIPPED = b".,;:!?\"'()[]-" + MARKS
+#: Features of a text that repeats words, and of the shapes 1 to 7 of words: capitals (4), marks (2), shouts (1).
+AGAIN_ID = xxhash.xxh3_64_intdigest(b"again") % BUCKETS
+SHAPE_IDS = np.array([(xxhash.xxh3_64_intdigest(b"s" + f"{at:03b}".encode()) % BUCKETS * 31 + 7) % BUCKETS for at in range(1, 8)])
 
 
 def stripped(word: bytes) -> bytes:
-    return word.strip(b".,;:!?\"'()[]-" + MARKS).lower()
+    return word.strip(STRIPPED).lower()
 
 
 def openings(word: bytes) -> list[bytes]:
@@ -62,10 +67,35 @@ def openings(word: bytes) -> list[bytes]:
     return [word[:size] + b"~" for size in OPENING_SIZES if len(word) > size]
 
 
+def bare_words(distinct: pa.Array) -> pa.Array:
+    """What ``stripped`` makes of each word, as one array."""
+    return pc.ascii_lower(pc.ascii_trim(distinct.view(pa.string()), characters=STRIPPED.decode())).view(pa.binary())
+
+
+def hashed_ids(kind: bytes, values: pa.Array) -> np.ndarray:
+    """Feature numbers of values; each distinct one is hashed once."""
+    codes, distinct = words.encoded(values)
+    ids = [xxhash.xxh3_64_intdigest(kind + value) % BUCKETS for value in words.listed(distinct)]
+    return np.array(ids, np.int64)[codes]
+
+
+def told(bare: pa.Array, insults: frozenset[bytes]) -> np.ndarray:
+    """Which words are insults or have an opening that is one."""
+    out = pc.is_in(bare, pa.array(insults, pa.binary())).to_numpy(zero_copy_only=False).copy()
+    least = min(OPENING_SIZES)
+    heads = {word[:least] for word in insults if word[-1:] == b"~"}
+    # Only words that begin as some opening does are cut into their openings.
+    maybe = pc.is_in(pc.binary_slice(bare, 0, least), pa.array(heads, pa.binary())).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(maybe & ~out)
+    out[at] = [any(x in insults for x in openings(word)) for word in words.listed(bare.take(pa.array(at)))]
+    return out
+
+
 def word_table(distinct: pa.Array, insults: frozenset[bytes], hashed_too: bool) -> dict[str, np.ndarray]:
     """What is asked of each distinct word; hashes only where they are used."""
-    plain = words.listed(distinct)
     flat, bounds = words.buffers(distinct)
+    sizes = np.diff(bounds)
+    last = flat[bounds[1:] - 1]
 
     def count(mask: np.ndarray) -> np.ndarray:
         upto = np.concatenate(([0], np.cumsum(mask)))
@@ -74,26 +104,24 @@ def word_table(distinct: pa.Array, insults: frozenset[bytes], hashed_too: bool)
     upper, lower = count((flat >= 65) & (flat <= 90)), count((flat >= 97) & (flat <= 122))
     marks = count(np.isin(flat, np.frombuffer(MARKS[:-1], np.uint8)))
     bangs = count(flat == ord("!"))
-    bare = [*map(stripped, plain)]
-    hashed = lambda kind, value: xxhash.xxh3_64_intdigest(kind + value) % BUCKETS
+    bare = bare_words(distinct)
     table = {
         "marks": marks, "marked": marks > 0, "capital": (upper > 1) & (upper > lower), "shout": bangs > 1,
-        "column": np.array([word == b"|" for word in plain], bool),
-        "insult": np.array([word in insults or any(x in insults for x in openings(word)) for word in bare], bool),
-        "stop": np.array([word[-1:] in (b".", b",") for word in plain], bool),
+        "column": (sizes == 1) & (last == ord("|")),
+        "insult": told(bare, insults),
+        "stop": (last == ord(".")) | (last == ord(",")),
     }
     if not hashed_too:
         return table
-    shape = [
-        b"%d%d%d" % (u > 1 and u > low, m > 0, b > 1) for u, low, m, b in zip(upper, lower, marks, bangs)
-    ]
+    lengths = pc.binary_length(bare).to_numpy(zero_copy_only=False)
+    shape = 4 * table["capital"] + 2 * table["marked"] + table["shout"]
     return table | {
-        "word_id": np.array([hashed(b"w", word) for word in bare], np.int64),
+        "word_id": hashed_ids(b"w", bare),
         **{
-            f"open{size}_id": np.array([hashed(b"o", word[:size]) if len(word) > size else -1 for word in bare], np.int64)
+            f"open{size}_id": np.where(lengths > size, hashed_ids(b"o", pc.binary_slice(bare, 0, size)), -1)
             for size in OPENING_SIZES[:2]
         },
-        "shape_id": np.array([hashed(b"s", one) if one != b"000" else -1 for one in shape], np.int64),
+        "shape": shape,
     }
 
 
@@ -101,6 +129,29 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(values)))[bounds])
 
 
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    """``np.unique`` by sorting, which is faster than its hashing on many values."""
+    values = np.sort(values)
+    return values[np.concatenate((np.ones(min(len(values), 1), bool), values[1:] != values[:-1]))]
+
+
+def features_of(table, pairs, codes, owner, bounds, stutter) -> list[np.ndarray]:
+    """The hashed features of each text, sorted; ``pairs`` are its distinct words."""
+    rows = len(bounds) - 1
+    row, word = pairs >> 32, pairs & 0xFFFFFFFF
+    found = []
+    for name in ("word_id", *(f"open{size}_id" for size in OPENING_SIZES[:2])):
+        ids = table[name][word]
+        found.append(((row << 32) | ids)[ids >= 0])
+    # A shape counts as a feature once it is common.
+    times = np.bincount(8 * owner + table["shape"][codes], minlength=8 * rows).reshape(-1, 8)
+    common, shape = np.nonzero(times[:, 1:] > 0.05 * np.diff(bounds)[:, None])
+    found.append((common << 32) | SHAPE_IDS[shape])
+    found.append((np.flatnonzero(stutter > 0.1) << 32) | AGAIN_ID)
+    found = distinct_sorted(np.concatenate(found))
+    return np.split(found & 0xFFFFFFFF, np.searchsorted(found >> 32, np.arange(1, rows)))
+
+
 def looked_at(texts: pa.Array, insults: frozenset[bytes], hashed_too: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
     """Votes of all labellers, and the hashed features if asked, of each text."""
     cut, bounds = words.cut_words(texts)
@@ -112,24 +163,9 @@ def looked_at(texts: pa.Array, insults: frozenset[bytes], hashed_too: bool = Tru
     again[bounds[:-1][bounds[1:] > bounds[:-1]]] = False
     stutter = per_text(again, bounds) / total
     owner = np.repeat(np.arange(len(total)), np.diff(bounds))
-    pairs = np.unique((owner << 32) | codes)
+    pairs = distinct_sorted((owner << 32) | codes)
     kinds = np.bincount(pairs >> 32, minlength=len(total)) / total
-    found_at = np.searchsorted(pairs >> 32, np.arange(len(total) + 1))
-    features: list[np.ndarray] = []
-    again_id = xxhash.xxh3_64_intdigest(b"again") % BUCKETS
-    some_shape = {}
-    for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]) if hashed_too else ()):
-        found = pairs[found_at[row] : found_at[row + 1]] & 0xFFFFFFFF
-        ids = np.concatenate((table["word_id"][found], *(table[f"open{size}_id"][found] for size in OPENING_SIZES[:2])))
-        ids = ids[ids >= 0]
-        # A shape counts as a feature once, and once more where it is common.
-        shapes, times = np.unique(table["shape_id"][codes[a:b]], return_counts=True)
-        for shape, many in zip(shapes.tolist(), times.tolist()):
-            if shape >= 0 and many > 0.05 * (b - a):
-                ids = np.append(ids, some_shape.setdefault(shape, (shape * 31 + 7) % BUCKETS))
-        if stutter[row] > 0.1:
-            ids = np.append(ids, again_id)
-        features.append(np.unique(ids))
+    features = features_of(table, pairs, codes, owner, bounds, stutter) if hashed_too else []
     spotless = (share["marks"] < 0.05) & (share["capital"] < 0.15) & (stutter < 0.08) & (share["insult"] == 0)
     votes = np.full((len(total), len(LABELLERS)), NOTHING, np.int8)
     for at, (bad, good) in enumerate(
@@ -230,8 +266,13 @@ def sample_of(insults: frozenset[bytes], share: float, share_bad: float):
     def run(batches):
         for batch in batches:
             for part in words.row_slices(batch, "text"):
+                draw = np.array([xxhash.xxh3_64_intdigest(text or "") / 2**64 for text in part.column("text").to_pylist()])
+                # Others cannot be drawn whatever their votes are.
+                likely = np.flatnonzero(draw < max(share, share_bad))
+                if not len(likely):
+                    continue
+                draw, part = draw[likely].tolist(), part.take(pa.array(likely))
                 votes, _ = looked_at(part.column("text"), insults, False)
-                draw = [xxhash.xxh3_64_intdigest(text or "") / 2**64 for text in part.column("text").to_pylist()]
                 keep = [
                     row for row, at in enumerate(draw) if at < (share_bad if (votes[row] == BAD).any() else share)
                 ]

@@ -452,6 +452,34 @@ def test_katz_gives_every_word_its_own_counts(spark, known):
     assert all(math.isclose(got[doc], want[doc], rel_tol=1e-9) for doc in want)
 
 
+def test_quality_classifier_features_and_draws(monkeypatch):
+    insults = frozenset([b"idiot", b"scum~", b"abcd~", b"~"])
+    texts = ["", "IDIOT!! idiotic #x** $$%", "Scum~ scum scummy abcd~ ABCDe", "é É ÀÉ!! ...", "x x x x x", "| | a.", " \n"] * 3
+    _, features = quality_classifier.looked_at(pa.array(texts), insults)
+    number = lambda kind, value: quality_classifier.xxhash.xxh3_64_intdigest(kind + value) % quality_classifier.BUCKETS
+    for text, found in zip(texts, features, strict=True):
+        cut = [word.encode() for word in split(text)]
+        expected = set()
+        shapes = collections.Counter()
+        for word in cut:
+            bare = quality_classifier.stripped(word)
+            expected |= {number(b"w", bare)} | {number(b"o", bare[:size]) for size in (4, 5) if len(bare) > size}
+            upper, lower = len(re.findall(rb"[A-Z]", word)), len(re.findall(rb"[a-z]", word))
+            shapes[b"%d%d%d" % (upper > 1 and upper > lower, bool(re.search(rb"[#*$%&|<>]", word)), word.count(b"!") > 1)] += 1
+        expected |= {(number(b"s", x) * 31 + 7) % quality_classifier.BUCKETS for x, n in shapes.items() if x != b"000" and n > 0.05 * len(cut)}
+        if cut and sum(a == b for a, b in zip(cut, cut[1:])) / len(cut) > 0.1:
+            expected.add(number(b"again", b""))
+        assert found.tolist() == sorted(expected)
+    assert quality_classifier.told(pa.array([b"idiot", b"scum", b"scummy", b"abcde", b""]), insults).tolist() == [True, False, True, True, False]
+
+    # Texts that no share can draw are not looked at.
+    many = pa.RecordBatch.from_arrays([pa.array([sentence(at, 30) for at in range(400)])], ["text"])
+    looked, whole = [], quality_classifier.looked_at
+    monkeypatch.setattr(quality_classifier, "looked_at", lambda texts, *rest: looked.append(len(texts)) or whole(texts, *rest))
+    drawn = sum(part.num_rows for part in quality_classifier.sample_of(insults, 0.05, 0.1)([many]))
+    assert 0 < drawn and sum(looked) < 200
+
+
 def test_quality_classifier(spark, docs, empty):
     pick = random.Random(4)
     rows, labels = [], []

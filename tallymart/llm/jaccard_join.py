@@ -22,7 +22,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymart.llm import sketches, words
@@ -267,7 +267,8 @@ def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, ma
     cells = sketches.cells_for(ids.count())
     marks = ids.repartition(16).mapInArrow(sketched("doc_id", cells, twice=True), sketches.SLICES)
     wanted = spark.sparkContext.broadcast(sketches.merged(marks, cells))
-    sets = texts.mapInArrow(chosen_sets(width, wanted), "doc_id long, tokens binary").distinct()
+    # Dealt by id alone, sets travel once for both the removal of equal rows and the join.
+    sets = texts.mapInArrow(chosen_sets(width, wanted), "doc_id long, tokens binary").repartition("doc_id").distinct()
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / GROUP_PAIRS).alias("parts"))
     partners = pairs.join(sizes, "hub").select(
         "hub", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), "doc_id"
@@ -338,6 +339,31 @@ def enough_shared(count: Column, a: Column, b: Column) -> Column:
     return count >= F.least(slack(a), slack(b)) + overlap
 
 
+def crossing_sides(labelled: DataFrame) -> DataFrame:
+    """Index rows of entries that hold several components.
+
+    ``hits`` counts a document's rows, ``before`` is the token of its row before.
+    """
+    entry, own = Window.partitionBy("token"), Window.partitionBy("doc_id")
+    component = F.coalesce("component", "doc_id")
+    return (
+        labelled.withColumn("component", component)
+        .withColumns({"low": F.min("component").over(entry), "high": F.max("component").over(entry)})
+        .filter("low < high")
+        .withColumns({"before": F.lag("token").over(own.orderBy("place", "token")), "hits": F.count("*").over(own)})
+        .select("token", "doc_id", "component", "n", "n_max", "hits", "place", "before")
+    )
+
+
+def opens_run(a: str, b: str) -> Column:
+    """Whether two rows of a token do not both follow rows of one other token.
+
+    If they do, those rows meet as well, at earlier places, and pass whatever
+    filter these pass; so a pair is found where a run of common tokens begins.
+    """
+    return F.coalesce(F.col(a) != F.col(b), F.lit(True))
+
+
 def join(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document.
 
@@ -364,10 +390,11 @@ def join(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         sketches.merged(prefixes.mapInArrow(sketched("prefix", cells), sketches.SLICES), cells)
     )
     tokens = prefixes.mapInArrow(repeated_tokens(repeated), "token long, doc_id long, place int")
-    entries = tokens.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"))
     index_at = fresh_folder(spark, "index")
+    entry = Window.partitionBy("token")
     (
-        tokens.join(entries.filter("hub < last").select("token", "hub"), "token")
+        tokens.withColumns({"hub": F.min("doc_id").over(entry), "last": F.max("doc_id").over(entry)})
+        .filter("hub < last").drop("last")
         .join(reps, "doc_id")
         .write.parquet(index_at)
     )
@@ -390,12 +417,8 @@ def join(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     )
     found = components(links.union(copies))
 
-    grouped = index.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    grouped = grouped.join(mixed.filter("low < high").select("token"), "token")
-    hits = grouped.groupBy("doc_id").agg(F.count("*").alias("hits"))
     sides_at = fresh_folder(spark, "sides")
-    grouped.join(hits, "doc_id").select("token", "doc_id", "component", "n", "n_max", "hits", "place").write.parquet(sides_at)
+    crossing_sides(index.join(found, "doc_id", "left")).write.parquet(sides_at)
     sides = spark.read.parquet(sides_at)
     left, right = (sides.select("token", *[F.col(x).alias(f"{side}_{x}") for x in sides.columns[1:]]) for side in "ab")
     # After the first token that two sets share, each must have enough of them left.
@@ -405,6 +428,7 @@ def join(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     several = (F.col("a_n") < F.col("a_n_max")) | (F.col("b_n") < F.col("b_n_max"))
     crossing = (
         left.join(right, "token")
+        .filter(opens_run("a_before", "b_before"))
         .filter("a_doc_id < b_doc_id AND a_component <> b_component")
         .filter(f"100 * a_n_max >= {PERCENT} * b_n AND 100 * b_n_max >= {PERCENT} * a_n")
         .filter(several | (enough_shared(F.least("a_hits", "b_hits"), F.col("a_n"), F.col("b_n")) & early))

@@ -542,3 +542,23 @@ def test_language_spans_of_code_switched_text(spark, docs):
     assert all(0 <= span["chance"] <= 1 for span in first["spans"])
     assert first["lang_pred"] in ("xx", "yy")
     assert [row["spans"] for row in got[1:]] == [[], [], []] and [row["lang_pred"] for row in got[1:]] == ["und"] * 3
+
+
+def test_crossing_pairs_meet_where_runs_begin(spark):
+    """Two components that share 40 tokens in a row meet in one row, not in 40; every pair stays."""
+    rows = []
+    for doc, component in ((1, None), (2, 1), (3, None), (4, 3)):
+        own = [1000 * doc] if doc % 2 else []
+        kept = [t for t in range(100, 140) if (t != 120 or doc != 4)]
+        rows += [(token, doc, place, component, 200, 200) for place, token in enumerate(own + kept, 1)]
+    rows += [(5, 7, 1, None, 9, 9), (5, 7, 1, None, 9, 9), (5, 8, 1, 7, 9, 9)]
+    labelled = spark.createDataFrame(rows, "token long, doc_id long, place int, component long, n long, n_max long")
+    sides = jaccard_join.crossing_sides(labelled)
+    assert {row["doc_id"] for row in sides.collect()} == {1, 2, 3, 4}
+    assert {(row["doc_id"], row["hits"]) for row in sides.collect()} == {(1, 40), (2, 40), (3, 40), (4, 39)}
+    a, b = (sides.select("token", *[F.col(name).alias(f"{side}_{name}") for name in sides.columns[1:]]) for side in "ab")
+    met = a.join(b, "token").filter("a_doc_id < b_doc_id AND a_component <> b_component")
+    runs = met.filter(jaccard_join.opens_run("a_before", "b_before"))
+    pairs = lambda rows: {(row["a_doc_id"], row["b_doc_id"]) for row in rows.collect()}
+    assert pairs(runs) == pairs(met) == {(1, 3), (1, 4), (2, 3), (2, 4)}
+    assert met.count() == 158 and runs.count() == 6

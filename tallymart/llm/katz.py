@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.llm import words
-from tallymart.session import fresh_folder
+from tallymart.session import fresh_folder, small_batches
 
 #: Words that every task knows; all others are looked up in tables.
 VOCABULARY = 1 << 20
@@ -33,7 +33,9 @@ VOCABULARY = 1 << 20
 TRUSTED = 5
 BUCKET_TOKENS = 2_000_000
 #: Tokens of a bucket that are scored at a time.
-PART_TOKENS = 1 << 19
+PART_TOKENS = 1 << 17
+#: Rows of a batch that a task sends back at once.
+SENT_ROWS = 1 << 15
 SPLIT_TOKENS = 1_000_000
 SLICE_BYTES = 1 << 20
 #: Bits of a symbol in counted pairs, and of symbols and documents in blocks.
@@ -50,10 +52,9 @@ COUNTED = (
 )
 COUNTED_NAMES = [field.split()[0] for field in COUNTED.split(", ")]
 SUMS = "known boolean, history long, word long, seen double, lower double"
-LINES = (
-    "row_id long, word long, part double, base double, n_tokens long, n_known long, rows long, "
-    "times double, lower_times double, weight_times double"
-)
+#: What buckets of bigrams and what texts tell of a document, or of one of its words.
+SCORED = "row_id long, word long, part double, lower_times double, weight_times double"
+TOLD = "row_id long, word long, base double, n_tokens long, n_known long, rows long, times double"
 
 
 def compressed(values: np.ndarray) -> bytes:
@@ -64,7 +65,8 @@ def compressed(values: np.ndarray) -> bytes:
 
 def expanded(raw: bytes, size: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(raw, 8 * size, codec="zstd", asbytes=True), np.uint8).reshape(8, size)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    steps = planes.T.copy().view("<u8").ravel()
+    return np.cumsum(steps, out=steps)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -383,20 +385,21 @@ def history_sums(kept: np.ndarray, shared, chances):
                 out = word >= first
                 seen = kept_counts(counts, kept) / np.maximum(before[history], 1)
                 lower = np.where(out, 0, np.append(chance, 0)[np.minimum(word, len(chance))])
+                seen_sum, lower_sum = np.bincount(at, seen, len(found)), np.bincount(at, lower, len(found))
                 listed = other.view(np.int64)
                 name = np.where(found < first, found, np.append(listed, 0)[np.maximum(found - first, -1)])
-                for start in range(0, len(found), PART_TOKENS):
-                    some = slice(start, start + PART_TOKENS)
+                for start in range(0, len(found), SENT_ROWS):
+                    some = slice(start, start + SENT_ROWS)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(found[some] < first), pa.array(name[some]), pa.nulls(len(found[some]), pa.int64()),
-                            pa.array(np.bincount(at, seen, len(found))[some]), pa.array(np.bincount(at, lower, len(found))[some]),
+                            pa.array(seen_sum[some]), pa.array(lower_sum[some]),
                         ],
                         ["known", "history", "word", "seen", "lower"],
                     )
                 owner, asked = at[out], listed[word[out] - first]
-                for start in range(0, len(asked), PART_TOKENS):
-                    some = slice(start, start + PART_TOKENS)
+                for start in range(0, len(asked), SENT_ROWS):
+                    some = slice(start, start + SENT_ROWS)
                     size = len(asked[some])
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -415,17 +418,19 @@ def weights_block(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], ["history", "weight"])
 
 
-def lines(ids: pa.Array, **columns: np.ndarray) -> pa.RecordBatch:
-    """Rows of ``LINES``; what is not given is 0, and the word null."""
-    out = [ids]
-    for field in LINES.split(", ")[1:]:
-        name, kind = field.split()
-        kind = pa.float64() if kind == "double" else pa.int64()
-        if name in columns:
-            out.append(pa.array(columns[name]).cast(kind))
-        else:
-            out.append(pa.nulls(len(ids), kind) if name == "word" else pa.array(np.zeros(len(ids))).cast(kind))
-    return pa.RecordBatch.from_arrays(out, [field.split()[0] for field in LINES.split(", ")])
+def lines(schema: str, ids: np.ndarray, **columns: np.ndarray):
+    """Rows of a schema in batches; what is not given is 0, and the word null."""
+    fields = [field.split() for field in schema.split(", ")]
+    for start in range(0, len(ids), SENT_ROWS):
+        some = slice(start, start + SENT_ROWS)
+        out = [pa.array(ids[some])]
+        for name, kind in fields[1:]:
+            kind = pa.float64() if kind == "double" else pa.int64()
+            if name in columns:
+                out.append(pa.array(columns[name][some]).cast(kind))
+            else:
+                out.append(pa.nulls(len(out[0]), kind) if name == "word" else pa.array(np.zeros(len(out[0]))).cast(kind))
+        yield pa.RecordBatch.from_arrays(out, [name for name, _ in fields])
 
 
 def bucket_scores(kept: np.ndarray, shared, chances, weights):
@@ -466,12 +471,12 @@ def bucket_scores(kept: np.ndarray, shared, chances, weights):
                         keys = np.concatenate((key[far] + history[far] - first, key[asked] + word[asked] - first))
                         found, at = np.unique(keys, return_inverse=True)
                         cut = int(far.sum())
-                        yield lines(
-                            pa.array(ids[found // len(other)]), word=listed[found % len(other)],
+                        yield from lines(
+                            SCORED, ids[found // len(other)], word=listed[found % len(other)],
                             weight_times=np.bincount(at[:cut], times[part][far], len(found)),
                             lower_times=np.bincount(at[cut:], times[part][asked], len(found)),
                         )
-                yield lines(pa.array(ids), part=total)
+                yield from lines(SCORED, ids, part=total)
 
     return run
 
@@ -489,15 +494,15 @@ def text_lines(shared):
                 base = np.where(far, 0, vocabulary.base(np.append(vocabulary.counts, 0)[symbols]))
                 upto = lambda values: np.concatenate(([0], np.cumsum(values[tokens.codes])))[tokens.bounds]
                 ids = part.column("doc_id").to_numpy().astype(np.int64)
-                yield lines(
-                    pa.array(ids), n_tokens=tokens.sizes + 1, n_known=np.diff(upto(~far)), base=np.diff(upto(base)),
+                yield from lines(
+                    TOLD, ids, n_tokens=tokens.sizes + 1, n_known=np.diff(upto(~far)), base=np.diff(upto(base)),
                     rows=np.ones(len(ids), np.int64),
                 )
                 at = np.flatnonzero(far[tokens.codes])
                 found, times = np.unique(tokens.owner[at] * max(len(far), 1) + tokens.codes[at], return_counts=True)
                 if len(found):
-                    yield lines(
-                        pa.array(ids[found // len(far)]), word=tokens.hashes[found % len(far)].view(np.int64),
+                    yield from lines(
+                        TOLD, ids[found // len(far)], word=tokens.hashes[found % len(far)].view(np.int64),
                         times=times.astype(float),
                     )
 
@@ -623,13 +628,16 @@ class Model:
         """``row_id`` with counts and log probabilities of each row's text."""
         spark = self.texts.sparkSession
         pairs = self.counted.drop("seen", "bucket").mapInArrow(
-            bucket_scores(self.kept, self.shared, self.known_chances, self.known_weights), LINES
+            bucket_scores(self.kept, self.shared, self.known_chances, self.known_weights), SCORED
         )
-        texts = self.texts.select("doc_id", "text", "held_out").mapInArrow(text_lines(self.shared), LINES)
-        folder = fresh_folder(spark, "lines")
-        sums = [F.sum(name).alias(name) for name in pairs.columns[2:]]
-        pairs.union(texts).groupBy("row_id", "word").agg(*sums).write.parquet(folder)
-        table = spark.read.parquet(folder)
+        texts = self.texts.select("doc_id", "text", "held_out").mapInArrow(text_lines(self.shared), TOLD)
+        summed = lambda rows, *keys: rows.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in rows.columns if x not in ("row_id", "word")])
+        # Each kind of rows is summed by itself, so a sum holds no columns of the other's.
+        folders = [fresh_folder(spark, "lines") for _ in range(2)]
+        for folder, rows in zip(folders, (pairs, texts)):
+            summed(rows, "row_id", "word").write.parquet(folder)
+        scored, told = map(spark.read.parquet, folders)
+        table = scored.unionByName(told, allowMissingColumns=True)
         weights = self.backoffs.filter("NOT known").select(F.col("history").alias("word"), "weight")
         total = F.lit(float(self.known.tokens + self.known.kinds + 1))
         count = F.coalesce(F.col("n"), F.lit(0)) + 1
@@ -650,7 +658,8 @@ class Model:
         each = lambda value: value / F.col("rows")
         # Every text's end is a token, which training knows if it had any text.
         end = float(self.known.base(self.known.docs))
-        return table.filter("word IS NULL").join(far, "row_id", "left").select(
+        whole = summed(table.filter("word IS NULL").drop("word"), "row_id")
+        return whole.join(far, "row_id", "left").select(
             "row_id",
             each(F.col("n_tokens")).cast("long").alias("n_tokens"),
             (each(F.col("n_known") + zero("far_known")).cast("long") + (1 if self.known.docs else 0)).alias("n_known"),
@@ -686,7 +695,9 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, bucket_tokens: int = BU
     ids = [name for name in docs.columns if name not in ("text", "held_out")]
     keyed = docs.withColumn("row_id", F.xxhash64(*[F.col(name).cast("string") for name in ids], "held_out", text))
     texts = keyed.select(F.col("row_id").alias("doc_id"), text.alias("text"), "held_out")
-    return keyed.drop("text").join(Model(texts, vocabulary, bucket_tokens).scores(), "row_id").drop("row_id")
+    with small_batches(docs.sparkSession):
+        scores = Model(texts, vocabulary, bucket_tokens).scores()
+    return keyed.drop("text").join(scores, "row_id").drop("row_id")
 
 
 def op5_katz(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +20,11 @@ SETTINGS = {
 }
 
 
+#: Rows of a batch of whole texts that goes to a Python task at once.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def build_session(
     app: str = "tallymart", master: str | None = None, **conf: str
 ) -> SparkSession:
@@ -53,3 +59,24 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, for one table or one checkpoint."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Jobs planned meanwhile send at most so many rows to a Python task at once.
+
+    A batch lies in buffers outside the heap, on both sides. A lower limit of the
+    session holds; its own setting is back afterwards.
+    """
+    before = spark.conf.get(BATCH_SETTING, None)
+    if before is not None and 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_SETTING)
+        else:
+            spark.conf.set(BATCH_SETTING, before)

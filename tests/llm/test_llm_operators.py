@@ -8,6 +8,7 @@ import pathlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -562,3 +563,15 @@ def test_crossing_pairs_meet_where_runs_begin(spark):
     pairs = lambda rows: {(row["a_doc_id"], row["b_doc_id"]) for row in rows.collect()}
     assert pairs(runs) == pairs(met) == {(1, 3), (1, 4), (2, 3), (2, 4)}
     assert met.count() == 158 and runs.count() == 6
+
+
+def test_katz_sends_bounded_batches():
+    ids = np.arange(40_000)
+    texts = [f"known new{at}" for at in ids]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array(ids < 0)], ["doc_id", "text", "held_out"])
+    known = words.word_digests(pa.array([b"known"]))[0]
+    shared = SimpleNamespace(value=katz.Vocabulary(known, np.array([40_000]), 40_000, 80_000, 40_001))
+    found = list(katz.text_lines(shared)([batch]))
+    rows = pa.Table.from_batches(found)
+    assert max(part.num_rows for part in found) <= 1 << 15 and rows.num_rows == 80_000
+    assert sum(rows["times"].to_pylist()) == sum(rows["rows"].to_pylist()) == 40_000

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymart.llm import sketches, words
-from tallymart.session import fresh_folder
+from tallymart.session import fresh_folder, small_batches
 from tallymart.sources.files import Store
 
 SHINGLE = 5
@@ -38,6 +38,8 @@ COUNT_CELLS = 1 << 23
 COUNT_SLICE = 1 << 16
 #: Pairs of one document that are compared in one task at a time.
 GROUP_PAIRS = 256
+#: Bytes of texts that are cut into sets at a time; a task holds some twenty times as much.
+SLICE_BYTES = 1 << 20
 SIGNATURES = "doc_id long, n long, set1 long, set2 long, prefix array<long>"
 
 
@@ -85,7 +87,7 @@ def counted(width: int):
     def run(batches):
         total = np.zeros(COUNT_CELLS, np.uint32)
         for batch in batches:
-            for part in words.row_slices(batch, "text"):
+            for part in words.row_slices(batch, "text", SLICE_BYTES):
                 sets = shingle_sets(part.column("text"), width)
                 found, times = np.unique(count_cells(np.concatenate(sets)), return_counts=True)
                 total[found] += times.astype(np.uint32)
@@ -143,7 +145,7 @@ def ordered(tokens: np.ndarray, order: int, classes: np.ndarray | None = None) -
 def signatures(width: int, classes):
     def run(batches):
         for batch in batches:
-            for part in words.row_slices(batch, "text"):
+            for part in words.row_slices(batch, "text", SLICE_BYTES):
                 sets = shingle_sets(part.column("text"), width)
                 first = [int(words.mix(one).sum()) for one in sets]
                 second = [int(words.mix(one ^ np.uint64(BASE)).sum()) for one in sets]
@@ -209,7 +211,7 @@ def chosen_sets(width: int, wanted):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             batch = batch.filter(pa.array(wanted.value.maybe(ids.view(np.uint64))))
-            for part in words.row_slices(batch, "text"):
+            for part in words.row_slices(batch, "text", SLICE_BYTES):
                 sets = shingle_sets(part.column("text"), width)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([one.astype("<u8").tobytes() for one in sets], pa.binary())],
@@ -372,6 +374,11 @@ def join(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     a component of its own with a null id. Other columns are ignored. An empty
     table gives an empty one. Hashes of 64 bits stand for shingles.
     """
+    with small_batches(docs.sparkSession):
+        return _joined(docs, width)
+
+
+def _joined(docs: DataFrame, width: int) -> DataFrame:
     spark = docs.sparkSession
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = whole.filter("doc_id IS NOT NULL")

@@ -7,6 +7,7 @@ import math
 import pathlib
 import random
 import re
+import tracemalloc
 import zlib
 from types import SimpleNamespace
 
@@ -565,6 +566,51 @@ def test_crossing_pairs_meet_where_runs_begin(spark):
     assert met.count() == 158 and runs.count() == 6
 
 
+def largest_batch(rows):
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"]) for batch in batches)
+    return max(row["n"] for row in rows.mapInArrow(sizes, "n long").collect())
+
+
+@pytest.mark.parametrize("own", [None, "2500", "0", "300"])
+def test_jaccard_join_and_katz_send_small_batches(spark, monkeypatch, own):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(at, f"word{at} a b c d e f") for at in range(3000)], "doc_id long, text string").coalesce(1)
+    found = []
+    classes, model = jaccard_join.frequency_classes, katz.Model.__init__
+
+    def seen(texts, width):
+        found.append(largest_batch(texts))
+        return classes(texts, width)
+
+    def trained(self, texts, *rest):
+        found.append(largest_batch(texts))
+        model(self, texts, *rest)
+
+    monkeypatch.setattr(jaccard_join, "frequency_classes", seen)
+    monkeypatch.setattr(katz.Model, "__init__", trained)
+    if own:
+        spark.conf.set(setting, own)
+    try:
+        assert jaccard_join.join(docs).count() == 3000
+        assert katz.score(docs.withColumn("held_out", F.col("doc_id") % 7 == 2)).count() == 3000
+        assert spark.conf.get(setting, None) == own
+    finally:
+        spark.conf.unset(setting)
+    assert max(found) <= (300 if own == "300" else 1000) and len(found) == 2
+
+
+def test_jaccard_join_cuts_slices_that_fit():
+    texts = [" ".join(f"{at}x{word}" for word in range(1000)) for at in range(800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    classes = SimpleNamespace(value=np.zeros(jaccard_join.COUNT_CELLS, np.uint8))
+    for made in (jaccard_join.counted(5), jaccard_join.signatures(5, classes)):
+        tracemalloc.start()
+        rows = sum(part.num_rows for part in made([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows and peak < 80 << 20
+
+
 def test_katz_sends_bounded_batches():
     ids = np.arange(40_000)
     texts = [f"known new{at}" for at in ids]

@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from tallymart.llm import words
 from tallymart.llm.vocabulary import WordIds
-from tallymart.session import fresh_folder
+from tallymart.session import fresh_folder, small_batches
 
 LENGTH = 4096
 END_ID = 2
 GROUP_PIECES = 8192
+#: Texts tokenized at once.
+SLICE_BYTES = 1 << 20
 PIECES = "doc_id long, copy long, start long, length long, ids binary, doc_tokens long"
 PLACES = f"{PIECES}, bin long, offset long"
 
@@ -68,7 +70,7 @@ def tokenized_pieces(path: str, length: int, end: int):
     def run(batches):
         ids = WordIds(path)
         for batch in batches:
-            for part in words.row_slices(batch, "text"):
+            for part in words.row_slices(batch, "text", SLICE_BYTES):
                 flat, bounds = ids.texts(part.column("text"), end)
                 columns: list[list] = [[], [], [], [], [], []]
                 keys = zip(part.column("doc_id").to_pylist(), part.column("copy").to_pylist())
@@ -119,7 +121,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END_I
         F.col("text").cast("string").alias("text"),
     )
     folder = fresh_folder(spark, "pieces")
-    rows.mapInArrow(tokenized_pieces(tokenizer, length, end), PIECES).write.parquet(folder)
+    with small_batches(spark):
+        rows.mapInArrow(tokenized_pieces(tokenizer, length, end), PIECES).write.parquet(folder)
     pieces = spark.read.parquet(folder)
     groups = max(1, -(-pieces.count() // group_pieces))
     placed = (

@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.llm import words
+from tallymart.session import small_batches
 
 BUCKETS = 1 << 18
+#: Texts looked at at once: several arrays of their words are held beside them.
+SLICE_BYTES = 1 << 20
 #: Bound of the training sample; a document that any labeller calls bad is as
 #: likely to be drawn as all others together, so rare faults are seen often.
 SAMPLE_DOCS = 16000
@@ -251,7 +254,7 @@ def train(features: list[np.ndarray], targets: np.ndarray, seed: int = SEED) ->
 def votes_of(insults: frozenset[bytes]):
     def run(batches):
         for batch in batches:
-            for part in words.row_slices(batch, "text"):
+            for part in words.row_slices(batch, "text", SLICE_BYTES):
                 votes, _ = looked_at(part.column("text"), insults, False)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(["".join(map(str, row)) for row in votes.tolist()], pa.string())], ["votes"]
@@ -265,7 +268,7 @@ def sample_of(insults: frozenset[bytes], share: float, share_bad: float):
 
     def run(batches):
         for batch in batches:
-            for part in words.row_slices(batch, "text"):
+            for part in words.row_slices(batch, "text", SLICE_BYTES):
                 draw = np.array([xxhash.xxh3_64_intdigest(text or "") / 2**64 for text in part.column("text").to_pylist()])
                 # Others cannot be drawn whatever their votes are.
                 likely = np.flatnonzero(draw < max(share, share_bad))
@@ -294,7 +297,7 @@ def sample_of(insults: frozenset[bytes], share: float, share_bad: float):
 def scores_of(insults: frozenset[bytes], weights: np.ndarray, reject: float):
     def run(batches):
         for batch in batches:
-            for part in words.row_slices(batch, "text"):
+            for part in words.row_slices(batch, "text", SLICE_BYTES):
                 _, features = looked_at(part.column("text"), insults)
                 total = np.array([weights[one].sum() for one in features], float) + weights[-1]
                 good = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
@@ -311,7 +314,7 @@ def scores_of(insults: frozenset[bytes], weights: np.ndarray, reject: float):
 def terms_of(batches):
     """Words and openings of words with the toxic and clean documents they are in."""
     for batch in batches:
-        for part in words.row_slices(batch, "text"):
+        for part in words.row_slices(batch, "text", SLICE_BYTES):
             cut, bounds = words.cut_words(part.column("text"))
             codes, distinct = words.encoded(cut)
             bare = [*map(stripped, words.listed(distinct))]
@@ -400,9 +403,10 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, insults=INSULTS,
     """
     listed = frozenset(word.encode() for word in insults)
     docs = docs.drop("quality_score", "quality_kept")
-    if labels is not None:
-        listed |= learn_insults(docs, labels)
-    weights = fit(docs, listed, sample)
+    with small_batches(docs.sparkSession):
+        if labels is not None:
+            listed |= learn_insults(docs, labels)
+        weights = fit(docs, listed, sample)
     if weights is None:
         weights = np.zeros(BUCKETS + 1, np.float32)
     schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)

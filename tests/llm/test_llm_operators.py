@@ -621,3 +621,44 @@ def test_katz_sends_bounded_batches():
     rows = pa.Table.from_batches(found)
     assert max(part.num_rows for part in found) <= 1 << 15 and rows.num_rows == 80_000
     assert sum(rows["times"].to_pylist()) == sum(rows["rows"].to_pylist()) == 40_000
+
+
+def test_quality_classifier_and_packing_cut_slices_that_fit(monkeypatch):
+    texts = [" ".join(f"{at}x{word}" for word in range(1000)) for at in range(800)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts), pa.array([0, 1] * 400)],
+        ["doc_id", "copy", "text", "toxic"],
+    )
+    none, weights = frozenset([b"idiot"]), np.zeros(quality_classifier.BUCKETS + 1, np.float32)
+    seen = []
+    cut = words.row_slices
+    monkeypatch.setattr(
+        words, "row_slices", lambda *given: (seen.append(part.get_total_buffer_size()) or part for part in map(pa.concat_batches, ([x] for x in cut(*given))))
+    )
+    for made in (
+        quality_classifier.votes_of(none), quality_classifier.sample_of(none, 1.0, 1.0), quality_classifier.terms_of,
+        quality_classifier.scores_of(none, weights, 0.5), packing.tokenized_pieces(public_tokenizers.path("word_bpe_49k.json"), 4096, 2),
+    ):
+        seen.clear()
+        assert sum(part.num_rows for part in made([batch])) >= len(texts)
+        assert seen and max(seen) < 2 << 20
+
+
+def test_quality_classifier_and_packing_send_small_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([(at, f"word{at} a b c d e f") for at in range(3000)], "doc_id long, text string").coalesce(1)
+    found = []
+    fit, pieces = quality_classifier.fit, packing.tokenized_pieces
+
+    def fitted(texts, *rest):
+        found.append(largest_batch(texts))
+        return fit(texts, *rest)
+
+    def cut(path, length, end):
+        found.append(largest_batch(docs))
+        return pieces(path, length, end)
+
+    monkeypatch.setattr(quality_classifier, "fit", fitted)
+    monkeypatch.setattr(packing, "tokenized_pieces", cut)
+    assert quality_classifier.classify(docs).count() == 3000
+    assert packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 3000
+    assert len(found) == 2 and max(found) <= 1000

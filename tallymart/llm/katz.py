@@ -47,10 +47,11 @@ BLOCK_TOKENS = 1 << 18  # at most 1 << DOC_BITS
 BATCH_BYTES = 8 << 20  # packed blocks sent on at once
 BLOCKS = "bucket long, docs binary, held binary, tokens binary, times binary, words binary"
 COUNTED = (
-    "bucket long, docs binary, owner binary, tokens binary, times binary, pairs binary, counts binary, words binary, "
-    "seen array<long>"
+    "bucket long, docs binary, owner array<binary>, tokens array<binary>, times array<binary>, pairs binary, "
+    "counts binary, words binary, seen array<long>"
 )
-COUNTED_NAMES = [field.split()[0] for field in COUNTED.split(", ")]
+ARROW = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
+COUNTED_KINDS = [(name, ARROW[kind]) for name, kind in map(str.split, COUNTED.split(", "))]
 SUMS = "known boolean, history long, word long, seen double, lower double"
 #: What buckets of bigrams and what texts tell of a document, or of one of its words.
 SCORED = "row_id long, word long, part double, lower_times double, weight_times double"
@@ -78,6 +79,11 @@ def unpacked(raw: bytes) -> np.ndarray:
     return expanded(raw[8:], size) if size else np.zeros(0, np.uint64)
 
 
+def packed_parts(values: np.ndarray) -> list[bytes]:
+    """Values packed so that a part of them can be had without the others."""
+    return [packed(values[at : at + PART_TOKENS].astype(np.uint64)) for at in range(0, len(values), PART_TOKENS)]
+
+
 def tallied(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys with the sums of their weights."""
     found, at = np.unique(keys, return_inverse=True)
@@ -335,7 +341,9 @@ def count_bucket(first: int):
             docs.append(ids)
             shift += len(ids)
         del raw, lists
-        out = {"bucket": key[0].as_py(), "docs": packed(np.concatenate(docs)), "tokens": packed(pair), "words": packed(other)}
+        out = {"bucket": key[0].as_py(), "docs": packed(np.concatenate(docs)), "words": packed(other)}
+        out |= {name: packed_parts(values) for name, values in (("owner", owner), ("tokens", pair))}
+        del docs, owner
         if not trained.all():
             pair = pair[trained]
         order = np.argsort(pair)
@@ -347,11 +355,8 @@ def count_bucket(first: int):
         del order, heads, trained
         out |= {"counts": packed(counts.astype(np.uint64)), "seen": kinds_seen(counts).tolist()}
         del counts
-        out["owner"] = packed(owner.astype(np.uint64))
-        del owner
-        out["times"] = packed(times.astype(np.uint64))
-        kinds = [(name, pa.list_(pa.int64()) if name == "seen" else pa.int64() if name == "bucket" else pa.binary()) for name in COUNTED_NAMES]
-        return pa.table({name: pa.array([out[name]], kind) for name, kind in kinds})
+        out["times"] = packed_parts(times)
+        return pa.table({name: pa.array([out[name]], kind) for name, kind in COUNTED_KINDS})
 
     return run
 
@@ -361,9 +366,16 @@ def counts_before(vocabulary: Vocabulary, other: np.ndarray, pairs: np.ndarray,
 
     A history that is not numbered is never split, so its bucket holds it all.
     """
-    history = (pairs >> np.uint64(BITS)).view(np.int64)
-    out = history >= vocabulary.first
-    return np.concatenate((vocabulary.before, np.bincount(history[out] - vocabulary.first, counts[out], len(other)).astype(np.int64)))
+    # Pairs are sorted, so these histories come last.
+    out = np.searchsorted(pairs, np.uint64(vocabulary.first << BITS))
+    history = (pairs[out:] >> np.uint64(BITS)).view(np.int64)
+    return np.concatenate((vocabulary.before, np.bincount(history - vocabulary.first, counts[out:], len(other)).astype(np.int64)))
+
+
+def history_parts(pairs: np.ndarray) -> list[int]:
+    """Bounds of parts of sorted pairs, about ``PART_TOKENS`` each, that cut no history."""
+    heads = pairs[PART_TOKENS::PART_TOKENS] >> np.uint64(BITS) << np.uint64(BITS)
+    return np.unique([0, *np.searchsorted(pairs, heads).tolist(), len(pairs)]).tolist()
 
 
 def history_sums(kept: np.ndarray, shared, chances):
@@ -378,36 +390,38 @@ def history_sums(kept: np.ndarray, shared, chances):
         for batch in batches:
             for line in range(batch.num_rows):
                 pairs, counts, other = (unpacked(batch.column(name)[line].as_buffer()) for name in ("pairs", "counts", "words"))
-                counts = counts.astype(np.int64)
-                history, word = split_pairs(pairs)
+                counts = counts.view(np.int64)
                 before = counts_before(vocabulary, other, pairs, counts)
-                found, at = np.unique(history, return_inverse=True)
-                out = word >= first
-                seen = kept_counts(counts, kept) / np.maximum(before[history], 1)
-                lower = np.where(out, 0, np.append(chance, 0)[np.minimum(word, len(chance))])
-                seen_sum, lower_sum = np.bincount(at, seen, len(found)), np.bincount(at, lower, len(found))
                 listed = other.view(np.int64)
-                name = np.where(found < first, found, np.append(listed, 0)[np.maximum(found - first, -1)])
-                for start in range(0, len(found), SENT_ROWS):
-                    some = slice(start, start + SENT_ROWS)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(found[some] < first), pa.array(name[some]), pa.nulls(len(found[some]), pa.int64()),
-                            pa.array(seen_sum[some]), pa.array(lower_sum[some]),
-                        ],
-                        ["known", "history", "word", "seen", "lower"],
-                    )
-                owner, asked = at[out], listed[word[out] - first]
-                for start in range(0, len(asked), SENT_ROWS):
-                    some = slice(start, start + SENT_ROWS)
-                    size = len(asked[some])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(found[owner[some]] < first), pa.array(name[owner[some]]), pa.array(asked[some]),
-                            pa.array(np.zeros(size)), pa.array(np.zeros(size)),
-                        ],
-                        ["known", "history", "word", "seen", "lower"],
-                    )
+                bounds = history_parts(pairs)
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    history, word = split_pairs(pairs[a:b])
+                    found, at = np.unique(history, return_inverse=True)
+                    out = word >= first
+                    seen = kept_counts(counts[a:b], kept) / np.maximum(before[history], 1)
+                    lower = np.where(out, 0, np.append(chance, 0)[np.minimum(word, len(chance))])
+                    seen_sum, lower_sum = np.bincount(at, seen, len(found)), np.bincount(at, lower, len(found))
+                    name = np.where(found < first, found, np.append(listed, 0)[np.maximum(found - first, -1)])
+                    for start in range(0, len(found), SENT_ROWS):
+                        some = slice(start, start + SENT_ROWS)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(found[some] < first), pa.array(name[some]), pa.nulls(len(found[some]), pa.int64()),
+                                pa.array(seen_sum[some]), pa.array(lower_sum[some]),
+                            ],
+                            ["known", "history", "word", "seen", "lower"],
+                        )
+                    owner, asked = at[out], listed[word[out] - first]
+                    for start in range(0, len(asked), SENT_ROWS):
+                        some = slice(start, start + SENT_ROWS)
+                        size = len(asked[some])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(found[owner[some]] < first), pa.array(name[owner[some]]), pa.array(asked[some]),
+                                pa.array(np.zeros(size)), pa.array(np.zeros(size)),
+                            ],
+                            ["known", "history", "word", "seen", "lower"],
+                        )
 
     return run
 
@@ -442,19 +456,19 @@ def bucket_scores(kept: np.ndarray, shared, chances, weights):
     def run(batches):
         vocabulary, chance, weight = shared.value, chances.value, weights.value
         first = vocabulary.first
-        names = ("docs", "owner", "tokens", "times", "pairs", "counts", "words")
         for batch in batches:
             for line in range(batch.num_rows):
-                row = [batch.column(name)[line].as_buffer() for name in names]
-                owner, times = unpacked(row[1]).astype(np.int32), unpacked(row[3]).astype(np.float32)
-                docs, pair, pairs, counts, other = (unpacked(row[at]) for at in (0, 2, 4, 5, 6))
+                docs, pairs, counts, other = (
+                    unpacked(batch.column(name)[line].as_buffer()) for name in ("docs", "pairs", "counts", "words")
+                )
                 counts = counts.view(np.int64)
                 before = counts_before(vocabulary, other, pairs, counts)
                 ids, listed = docs.view(np.int64), other.view(np.int64)
                 total = np.zeros(len(docs))
-                for start in range(0, len(pair), PART_TOKENS):
-                    part = slice(start, start + PART_TOKENS)
-                    some = pair[part]
+                # The tokens' numbers are unpacked a part at a time.
+                for parts in zip(*(batch.column(name)[line].values for name in ("owner", "tokens", "times"))):
+                    owner, some, times = (unpacked(part.as_buffer()) for part in parts)
+                    owner, times = owner.view(np.int64), times.astype(np.float64)
                     history, word = split_pairs(some)
                     value, seen = np.zeros(len(some)), np.zeros(len(some), bool)
                     if len(pairs):
@@ -465,16 +479,16 @@ def bucket_scores(kept: np.ndarray, shared, chances, weights):
                     value[near] += np.log10(weight[history[near]])
                     plain, asked = ~seen & (word < first), ~seen & (word >= first)
                     value[plain] += np.log10(chance[word[plain]])
-                    total += np.bincount(owner[part], value * times[part], len(docs))
+                    total += np.bincount(owner, value * times, len(docs))
                     if far.any() or asked.any():
-                        key = owner[part].astype(np.int64) * len(other)
+                        key = owner * len(other)
                         keys = np.concatenate((key[far] + history[far] - first, key[asked] + word[asked] - first))
                         found, at = np.unique(keys, return_inverse=True)
                         cut = int(far.sum())
                         yield from lines(
                             SCORED, ids[found // len(other)], word=listed[found % len(other)],
-                            weight_times=np.bincount(at[:cut], times[part][far], len(found)),
-                            lower_times=np.bincount(at[cut:], times[part][asked], len(found)),
+                            weight_times=np.bincount(at[:cut], times[far], len(found)),
+                            lower_times=np.bincount(at[cut:], times[asked], len(found)),
                         )
                 yield from lines(SCORED, ids, part=total)
 

@@ -662,3 +662,44 @@ def test_quality_classifier_and_packing_send_small_batches(spark, monkeypatch):
     assert quality_classifier.classify(docs).count() == 3000
     assert packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 3000
     assert len(found) == 2 and max(found) <= 1000
+
+
+def test_katz_unpacks_a_bucket_by_parts(monkeypatch):
+    monkeypatch.setattr(katz, "PART_TOKENS", 1000)
+    pick = np.random.default_rng(3)
+    known = katz.Vocabulary(pick.integers(1, 1 << 60, 50).astype(np.uint64), np.full(50, 9), 40, 450, 50)
+    shared = SimpleNamespace(value=known)
+    texts = [" ".join(f"w{at}" for at in pick.integers(0, 300, 200)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts), pa.array([False] * 40)], ["doc_id", "text", "held_out"])
+    blocks = pa.Table.from_batches(katz.bigram_blocks(shared, 1)([batch]))
+    counted = katz.count_bucket(known.first)((pa.scalar(0),), blocks)
+    sizes = [[len(katz.unpacked(part)) for part in counted.column(name)[0].as_py()] for name in ("owner", "tokens", "times")]
+    assert sizes[0] == sizes[1] == sizes[2] and max(sizes[0]) == 1000 and len(sizes[0]) > 3
+    largest, unpack = [], katz.unpacked
+    monkeypatch.setattr(katz, "unpacked", lambda raw: largest.append(unpack(raw)) or largest[-1])
+    chances = SimpleNamespace(value=np.full(known.first - 1, 0.01))
+    weights = SimpleNamespace(value=np.ones(known.first))
+    kept = np.concatenate(([0.0], np.full(katz.TRUSTED, 0.5)))
+    rows = pa.Table.from_batches(katz.bucket_scores(kept, shared, chances, weights)(counted.to_batches()))
+    # Of each column of tokens a thousand at a time; docs, pairs, counts and words are one array each.
+    assert sorted(map(len, largest))[:-4] and sum(len(x) <= 1000 for x in largest) >= 3 * len(sizes[0])
+    assert set(rows.column("row_id").to_pylist()) == set(range(40))
+
+
+def test_katz_sums_histories_by_parts(monkeypatch):
+    pick = np.random.default_rng(5)
+    known = katz.Vocabulary(pick.integers(1, 1 << 60, 20).astype(np.uint64), np.full(20, 9), 40, 450, 50)
+    other = np.sort(pick.integers(1, 1 << 60, 200).astype(np.uint64))
+    symbols = np.delete(np.arange(known.first + len(other)), [known.unseen, known.end, known.start])
+    pairs = np.unique((pick.choice(symbols, 3000).astype(np.uint64) << np.uint64(katz.BITS)) | pick.choice(symbols, 3000).astype(np.uint64))
+    counts = pick.integers(1, 9, len(pairs)).astype(np.uint64)
+    table = pa.table({name: pa.array([katz.packed(x)], pa.binary()) for name, x in (("pairs", pairs), ("counts", counts), ("words", other))})
+    kept, chances = np.concatenate(([0.0], np.full(katz.TRUSTED, 0.5))), SimpleNamespace(value=np.full(known.first - 1, 0.01))
+    made = lambda: [*katz.history_sums(kept, SimpleNamespace(value=known), chances)(table.to_batches())]
+    rows = lambda found: collections.Counter(tuple(row.values()) for row in pa.Table.from_batches(found).to_pylist())
+    whole, sizes, split = made(), [], katz.split_pairs
+    monkeypatch.setattr(katz, "PART_TOKENS", 100)
+    monkeypatch.setattr(katz, "split_pairs", lambda some: sizes.append(len(some)) or split(some))
+    assert rows(made()) == rows(whole)
+    assert len(sizes) > 20 and sum(sizes) == len(pairs) and max(sizes) < 250
+    assert katz.history_parts(pairs[:0]) == [0]
